@@ -223,7 +223,8 @@ def points_in_polygons(points: DataFrame, group: list[str], identity: str, y: Co
         return F.least(F.greatest(value, F.lit(0)), F.col("steps") - 1)
 
     homes = pts.join(grid, "g").select(key.alias("g"), clip(step("x0", F.col("x0"))).alias("i"), clip(step("x1", F.col("x1"))).alias("j"), "id", "x0", "x1")
-    ends = {f"{f}_{c}_v": (F.array_min if f == "lo" else F.array_max)(F.transform("v", lambda p, c=c: p[c])) for f in ("lo", "hi") for c in ("y", "x")}
+    vs = {c: F.transform("v", lambda p: p[c]) for c in ("y", "x")}  # noqa: B023 - called at once
+    ends = {f"{name}_{c}_v": f(vs[c]) for name, f in (("lo", F.array_min), ("hi", F.array_max)) for c in ("y", "x")}
     met = shapes.join(grid, "g").withColumns(ends).where((F.col("hi_y_v") >= F.col("min_x0")) & (F.col("lo_y_v") <= F.col("max_x0")) & (F.col("hi_x_v") >= F.col("min_x1")) & (F.col("lo_x_v") <= F.col("max_x1")))
     met = met.withColumn("i", F.explode(F.sequence(clip(step("x0", F.col("lo_y_v"))), clip(step("x0", F.col("hi_y_v")))))).withColumn("j", F.explode(F.sequence(clip(step("x1", F.col("lo_x_v"))), clip(step("x1", F.col("hi_x_v"))))))
     met = met.select(key.alias("g"), "i", "j", "poly", F.transform("v", lambda p: p["y"]).alias("vy"), F.transform("v", lambda p: p["x"]).alias("vx"))
