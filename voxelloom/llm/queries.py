@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import sql
+from voxelloom.llm import clusters, sql
 from voxelloom.llm.hooking import link_groups
+from voxelloom.llm.mixing import mix
+from voxelloom.llm.packing import pack_documents
 from voxelloom.llm.percentiles import DIGIT, histogram_percentiles, merge_histograms, radix_histogram, select_ranks
+from voxelloom.llm.repetition import repetition_shares, repetitive
+from voxelloom.llm.tokens import with_token_counts
 from voxelloom.llm.topn import top_n
 from voxelloom.operators.current import SLICE, current_rows, is_number, stack_key
 from voxelloom.runtime import Scratch
@@ -26,6 +30,37 @@ def _current_regions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return out.withColumn("stack_name", stack_key(F.col("stack_name"))) if "stack_name" in columns else out
 
 
+# Problem 1
+
+
+def _clustered(spark: SparkSession, d: str) -> DataFrame:
+    """(id, cluster, distance) of every current region: area by ratio, and form. Values that can't be are missing."""
+    regions = _current_regions(spark, d, "area", "circularity", "eccentricity", "solidity")
+    shape = {c: F.when(F.col(c) >= 0, F.col(c)) for c in ("circularity", "eccentricity", "solidity")}
+    features = {"log_area": F.when(F.col("area") > 0, F.log("area")), **shape}
+    scratch = Scratch(spark, "clusters")
+    model, data = clusters.fit(regions, "region_id", features, scratch=scratch)
+    return scratch.save(clusters.assign(data, model), "members")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    members = _clustered(spark, d).where("cluster is not null")
+    probes = _table(spark, d, "similarity_probes")
+    for side in "ab":
+        probes = probes.join(members.select(F.col("id").alias(f"region_id_{side}"), F.col("cluster").alias(f"cluster_{side}")), f"region_id_{side}")
+    return probes.where("cluster_a = cluster_b").select("region_id_a", "region_id_b")
+
+
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    """The cluster of every region and the distance from its centroid."""
+    return _clustered(spark, d).select(F.col("id").alias("region_id"), "cluster", "distance")
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters with their sizes and the regions nearest their centroids."""
+    return clusters.describe(_clustered(spark, d))
+
+
 # Problem 2
 
 
@@ -130,7 +165,71 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_top3(spark, d).select("pair_id")
 
 
+# Problem 6
+
+CONTAINER_TOKENS = 4096
+
+
+def _sizes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return with_token_counts(_table(spark, d, "documents"), "text", "size", keep=["doc_id", *columns])
+
+
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every mail, or piece of one that is longer than a container, with its container."""
+    return pack_documents(_sizes(spark, d), CONTAINER_TOKENS)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_packing(spark, d).where("pieces > 1").select("doc_id").distinct()
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are: each one's tokens and items."""
+    return p6_packing(spark, d).groupBy("container").agg(F.sum("size").alias("tokens"), F.count("*").alias("items"))
+
+
+# Problem 7
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    _, report = mix(_sizes(spark, d, "source"), _table(spark, d, "mix_targets"))
+    return report.where("short").select("source")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """What each source has, should give and gives."""
+    return mix(_sizes(spark, d, "source"), _table(spark, d, "mix_targets"))[1]
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mails that are used and how often."""
+    return mix(_sizes(spark, d, "source"), _table(spark, d, "mix_targets"))[0]
+
+
+# Problem 8
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Words, repeated words and their share of every mail."""
+    return repetition_shares(_table(spark, d, "documents"), "text", ["doc_id", "lang", "source"]).select("doc_id", "words", "repeated")
+
+
+def p8_adaptive(spark: SparkSession, d: str) -> DataFrame:
+    """Mails whose share is unusual for their language and source."""
+    shares = repetition_shares(_table(spark, d, "documents"), "text", ["doc_id", "lang", "source"])
+    return repetitive(shares, "lang", "source").select("doc_id", "share", "threshold")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The thresholds adapt but never go beyond a third, so all above a third come out; those that don't go out again."""
+    shares = repetition_shares(_table(spark, d, "documents"), "text", ["doc_id", "lang", "source"])
+    return repetitive(shares, "lang", "source", most=1 / 3).where("3 * repeated > words").select("doc_id")
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_clusters": p1_clusters,
+    "p1_members": p1_members,
     "p2_found": p2_found,
     "p2_exact": p2_exact,
     "p2_merged": p2_merged,
@@ -138,4 +237,13 @@ QUERIES = {
     "p3_group_sizes": p3_group_sizes,
     "p4_found": p4_found,
     "p4_top3": p4_top3,
+    "p6_found": p6_found,
+    "p6_packing": p6_packing,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p7_mixture": p7_mixture,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
+    "p8_adaptive": p8_adaptive,
 }

@@ -34,6 +34,21 @@ _RANKED = f"""
             FROM {_current("region_pairs", "pair_id")}
             WHERE region1_label > 0 AND region2_label > 0 AND isfinite(overlap_score) AND overlap_score BETWEEN 0 AND 1))"""
 
+_REPEATED = r"""
+    words AS (
+      SELECT doc_id, unnest(list) AS word, generate_subscripts(list, 1) AS i
+      FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS list FROM documents)),
+    runs AS (
+      SELECT doc_id, i, word, lead(word, 1) OVER w AS w1, lead(word, 2) OVER w AS w2, lead(word, 3) OVER w AS w3, lead(word, 4) OVER w AS w4
+      FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    later AS (
+      SELECT doc_id, i, (w4 IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, word, w1, w2, w3, w4 ORDER BY i) > 1)::INT AS again
+      FROM runs),
+    marked AS (
+      SELECT doc_id, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS repeated
+      FROM later),
+    counts AS (SELECT doc_id, count(*)::BIGINT AS words, sum(repeated)::BIGINT AS repeated FROM marked GROUP BY doc_id)"""
+
 SQL = {
     "p2_found": f"""
         WITH {_VALID}
@@ -53,5 +68,7 @@ SQL = {
     "p3_found": f"WITH RECURSIVE {_LINKS} SELECT region_id, group_id FROM groups",
     "p3_group_sizes": f"WITH RECURSIVE {_LINKS} SELECT group_id, count(*) AS members, max(region_id) AS last_region_id FROM groups GROUP BY group_id",
     "p4_found": f"WITH {_RANKED} SELECT pair_id FROM ranked WHERE place <= 3",
+    "p8_found": f"WITH {_REPEATED} SELECT doc_id FROM counts WHERE 3 * repeated > words",
+    "p8_shares": f"WITH {_REPEATED} SELECT doc_id, coalesce(words, 0)::BIGINT AS words, coalesce(repeated, 0)::BIGINT AS repeated FROM documents LEFT JOIN counts USING (doc_id)",
     "p4_top3": f"WITH {_RANKED} SELECT pair_id, image_id, scene, t, z, stack1_name, region1_label, region2_label, overlap_score, place::INTEGER AS place FROM ranked WHERE place <= 3",
 }
