@@ -16,12 +16,14 @@ class KdTree:
     def __init__(self, points: np.ndarray, leaf: int = 16):
         n, d = points.shape
         levels = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
-        width = leaf if levels else max(n, 1)
+        width = max(1, -(-n // (1 << levels)))
         index = np.full(width << levels, -1, dtype=np.int64)
         index[:n] = np.arange(n)
         places = np.empty((len(index), d))
         places[:n] = points
-        places[n:] = points[0] if n else 0.0
+        # Fewer than one for each leaf, spread over the points: places that lie together would all be near each other.
+        spare = len(index) - n
+        places[n:] = points[np.arange(spare) * n // max(1, spare)] if n else 0.0
         boxes = []
         for level in range(levels + 1):
             nodes = places.reshape(1 << level, -1, d)

@@ -107,9 +107,10 @@ def _near(points: DataFrame, scratch: Scratch, dims: int, radius: float, own: bo
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, home, side = pdf["id"].to_numpy(), pdf["home"].to_numpy(), pdf["side"].to_numpy()
-        # One more axis holds the groups apart, further than the radius.
-        apart = pd.factorize(pdf["g"])[0].astype(np.float64) * (4 * radius + 1)
-        space = np.column_stack([pdf[names].to_numpy(), apart])
+        # One more axis holds the groups apart, by more than any group's extent: so the trees part groups first.
+        places = pdf[names].to_numpy()
+        apart = pd.factorize(pdf["g"])[0].astype(np.float64) * (np.ptp(places, axis=0).max() + 4 * radius + 1)
+        space = np.column_stack([places, apart])
         found = []
         if own:
             for i, j in KdTree(space).pairs(None, radius):
