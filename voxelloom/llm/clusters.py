@@ -1,15 +1,16 @@
 """Clusters of mutually similar records, each with its size and its most typical members.
 
 Records become vectors of hashed weighted features. Distributed k-means, seeded in parallel with more candidates than
-centroids are wanted, covers them with many small cells. Cells that the records pass between without a gap belong to one
-cluster: on the line between two neighbouring centroids, the records of both cells that have the other centroid as
-their second nearest must be about as dense in the middle as nearer to the centroids. Hence the number of clusters need
-not be known, and a long cluster isn't cut because it is long.
+centroids are wanted, covers them with many small cells. Neighbouring cells with no gap between them belong to one cluster:
+a ball around the middle between their centroids must hold about as many records as equal balls around the centroids.
+Hence the number of clusters need not be known, and a long cluster isn't cut because it is long. Cells of stray records
+are joined to nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,9 +28,14 @@ DIMENSIONS = 32
 PROBES = 4
 CELLS = 64
 ROUNDS = 5
-STEPS = 12
+STEPS = 8
 CHUNK = 8_192
-BINS = 10
+#: Squared distances are counted by half powers of two, from 2 ** -SHIFT / 2 on.
+RADII, SHIFT = 64, 44
+CROWDED = 3.0
+LEVEL = 0.5
+BALLS = (0.25, 0.33, 0.45)
+AMPLE = 20
 
 
 def hashed_feature(name: str, dimensions: int = DIMENSIONS, probes: int = PROBES) -> np.ndarray:
@@ -172,32 +178,71 @@ def _reduce_candidates(candidates: np.ndarray, weights: np.ndarray, k: int, seed
     return centres
 
 
-def _profiles(data: DataFrame, make: Callable, features: int, cells: np.ndarray) -> np.ndarray:
-    """[i, j, b]: records of cell i whose second nearest centroid is j, by how far they are on the way to the middle."""
+def _near_counts(data: DataFrame, make: Callable, features: int, cells: np.ndarray) -> np.ndarray:
+    """[cell, b]: records of each cell whose squared distance from its centroid is under 2 ** ((b - SHIFT) / 2)."""
     m = len(cells)
 
     def count(chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        n = np.zeros(m * m * BINS)
+        n = np.zeros(m * RADII)
         for _, values in chunks:
-            x = make(values)
-            d = _squares(x, cells)
-            two = np.argpartition(d, 1, axis=1)[:, :2]
-            swap = d[np.arange(len(x)), two[:, 0]] > d[np.arange(len(x)), two[:, 1]]
-            i, j = np.where(swap, two[:, 1], two[:, 0]), np.where(swap, two[:, 0], two[:, 1])
-            way = cells[j] - cells[i]
-            t = ((x - cells[i]) * way).sum(axis=1) / np.maximum((way * way).sum(axis=1), 1e-300)
-            b = np.clip((t * 2 * BINS).astype(int), 0, BINS - 1)
-            n += np.bincount((i * m + j) * BINS + b, minlength=len(n))
+            d = _squares(make(values), cells)
+            own = d.argmin(axis=1)
+            b = np.ceil(2 * np.log2(np.maximum(d[np.arange(len(d)), own], 1e-12))).astype(int) + SHIFT
+            n += np.bincount(own * RADII + np.clip(b, 0, RADII - 1), minlength=len(n))
+        return [n]
+
+    return _summed(data, count, features)[0].reshape(m, RADII).cumsum(axis=1)
+
+
+def dense_cells(near: np.ndarray, features: int, even: float) -> np.ndarray:
+    """Whether some ball around a cell's centroid, with a fair part of its records, is denser than CROWDED times what
+    there would be if all records were spread evenly (`even` to a unit of volume). Cells of stray records are not."""
+    radius2 = 2.0 ** ((np.arange(RADII) - SHIFT) / 2)
+    volume = math.pi ** (features / 2) / math.gamma(features / 2 + 1) * radius2 ** (features / 2)
+    enough = near >= np.maximum(10, near[:, -1:] / 5)
+    return (np.where(enough, near / volume, 0.0).max(axis=1)) >= CROWDED * even
+
+
+def neighbours(cells: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Pairs of live cells with no other live centroid in the ball that has them at opposite ends."""
+    at = np.flatnonzero(live)
+    d = _squares(cells[at], cells[at])
+    between = np.maximum(d[:, :, None], 0) + d.T[None, :, :]  # [i, k, j] = d(i, k) + d(k, j)
+    own = np.arange(len(at))
+    between[own, own, :] = np.inf
+    between[:, own, own] = np.inf
+    free = (between.min(axis=1) >= d) if len(at) > 2 else np.ones_like(d, dtype=bool)
+    i, j = np.nonzero(np.triu(free, 1))
+    return np.stack([at[i], at[j]], axis=1)
+
+
+def _ball_counts(data: DataFrame, make: Callable, features: int, cells: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """[pair, 3]: records in balls of one size around the one centroid, the middle between both, and the other. The balls
+    are as small, by their share of the way, as leaves AMPLE records around both centroids."""
+    i, j = pairs.T
+    apart = _squares(cells, cells)[i, j]
+
+    def count(chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        n = np.zeros((len(BALLS), len(pairs), 3))
+        for _, values in chunks:
+            d = _squares(make(values), cells)
+            a, b = d[:, i], d[:, j]
+            middle = (a + b) / 2 - apart / 4
+            for k, share in enumerate(BALLS):
+                for place, x in enumerate((a, middle, b)):
+                    n[k, :, place] += (x <= apart * share * share).sum(axis=0)
         return [n]
 
-    return _summed(data, count, features)[0].reshape(m, m, BINS)
+    n = _summed(data, count, features)[0].reshape(len(BALLS), len(pairs), 3)
+    ample = np.minimum(n[:, :, 0], n[:, :, 2]) >= AMPLE
+    ample[-1] = True
+    return n[ample.argmax(axis=0), np.arange(len(pairs))]
 
 
-def join_cells(profiles: np.ndarray, dense: float = 0.1) -> np.ndarray:
-    """The cluster of each cell, from the profiles: cells are one cluster if the middle of the line between them is at
-    least `dense` times as populated as its most populated part on either side."""
-    m = len(profiles)
-    owner = list(range(m))
+def join_cells(cells: int, pairs: np.ndarray, balls: np.ndarray, level: float) -> np.ndarray:
+    """The cluster of each cell: a pair is joined if the middle is at least `level` times as dense as its sparser end.
+    Along any line through a heap with one summit the middle is at least as dense as the sparser end."""
+    owner = list(range(cells))
 
     def root(i: int) -> int:
         while owner[i] != i:
@@ -205,17 +250,13 @@ def join_cells(profiles: np.ndarray, dense: float = 0.1) -> np.ndarray:
             i = owner[i]
         return i
 
-    for i in range(m):
-        for j in range(i + 1, m):
-            a, b = profiles[i, j], profiles[j, i]
-            peak = max(a.max(), b.max())
-            middle = (a[-2:].sum() + b[-2:].sum()) / 4
-            if min(a.sum(), b.sum()) > 0 and middle >= dense * peak and middle >= 1:
-                owner[root(j)] = root(i)
-    return np.array([root(i) for i in range(m)])
+    for (i, j), (a, middle, b) in zip(pairs.tolist(), balls.tolist()):
+        if middle >= 1 and middle >= level * min(a, b):
+            owner[root(j)] = root(i)
+    return np.array([root(i) for i in range(cells)])
 
 
-def fit(records: DataFrame, identity: str, features: dict[str, Column], *, cells: int = CELLS, rounds: int = ROUNDS, steps: int = STEPS, weights: dict[str, float] | None = None, dense: float = 0.1, seed: int = 5, scratch: Scratch | None = None) -> tuple[Model | None, DataFrame]:
+def fit(records: DataFrame, identity: str, features: dict[str, Column], *, cells: int = CELLS, rounds: int = ROUNDS, steps: int = STEPS, weights: dict[str, float] | None = None, level: float = LEVEL, seed: int = 5, scratch: Scratch | None = None) -> tuple[Model | None, DataFrame]:
     """(model, data): the model, and the records as (id, values…), written once.
 
     `features` are numeric columns by name, each scaled to unit deviation and then by its weight (1 by default). The
@@ -226,10 +267,10 @@ def fit(records: DataFrame, identity: str, features: dict[str, Column], *, cells
     columns = [F.when(is_number(c.cast("double")), c.cast("double")).alias(f"f{k}") for k, c in enumerate(features.values())]
     data = scratch.save(records.where(F.col(identity).isNotNull()).select(F.col(identity).alias("id"), *columns), "values")
     whole = data.dropna()
-    stats = whole.agg(F.count("*").alias("n"), *(f(f"f{k}") for k in range(len(names)) for f in (F.avg, F.stddev_pop))).first()
+    stats = whole.agg(F.count("*").alias("n"), *(f(f"f{k}") for k in range(len(names)) for f in (F.avg, F.stddev_pop, F.max, F.min))).first()
     if not stats[0]:
         return None, data
-    means, spread = np.array(stats[1::2], dtype=float), np.array(stats[2::2], dtype=float)
+    means, spread = np.array(stats[1::4], dtype=float), np.array(stats[2::4], dtype=float)
     weight = np.array([(weights or {}).get(f, 1.0) for f in names])
     scales = np.where(spread > 0, spread, 1.0) / np.where(weight > 0, weight, 1e-9)
     make = lambda v: _vectors(v, names, means, scales)
@@ -246,10 +287,11 @@ def fit(records: DataFrame, identity: str, features: dict[str, Column], *, cells
         if cost >= before * (1 - 1e-3):
             break
         before = cost
-    if len(centres) > 1:
-        clusters = join_cells(_profiles(hashed, make, len(names), centres), dense)
-    else:
-        clusters = np.zeros(1, dtype=int)
+    width = np.clip((np.array(stats[3::4], dtype=float) - np.array(stats[4::4], dtype=float)) / scales, 1e-3, 6.0)
+    live = dense_cells(_near_counts(hashed, make, len(names), centres), len(names), stats[0] / width.prod())
+    pairs = neighbours(centres, live)
+    balls = _ball_counts(hashed, make, len(names), centres, pairs) if len(pairs) else np.zeros((0, 3))
+    clusters = join_cells(len(centres), pairs, balls, level)
     n, s, _ = _weights(hashed, make, len(names), centres)
     # Numbered by size, ties by place, so that the numbers don't depend on the seeding's order.
     found = np.unique(clusters)
