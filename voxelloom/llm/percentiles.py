@@ -8,6 +8,7 @@ whose leading bits are those of a bin that a wanted rank falls in, and so on to
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,19 +22,36 @@ MANTISSA = 52
 BIAS = 1023
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often it occurs."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def ordered_bits(value: Column) -> Column:
-    """The 64 bits of a finite double as a bigint that sorts as the double does; -0.0 is 0.0. Null if not finite."""
-    size = F.abs(value.cast("double"))
-    guess = F.floor(F.log2(size)).cast("int")
-    # The logarithm may be rounded over a power of two; scaling by a power of two is exact.
-    half = F.floor(guess / 2).cast("int")
-    scaled = size * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - guess)
-    exponent = F.when(scaled >= 2, guess + 1).when(scaled < 1, guess - 1).otherwise(guess)
-    mantissa = F.when(scaled >= 2, scaled / 2).when(scaled < 1, scaled * 2).otherwise(scaled)
-    normal = F.shiftleft((exponent + BIAS).cast("bigint"), MANTISSA) + ((mantissa - 1) * float(1 << MANTISSA)).cast("bigint")
-    tiny = (size * F.pow(F.lit(2.0), F.lit(537)) * F.pow(F.lit(2.0), F.lit(537))).cast("bigint")
-    bits = F.when(size == 0, F.lit(0).cast("bigint")).when(size < 2.0**-1022, tiny).otherwise(normal)
-    return F.when(is_number(value.cast("double")), F.when(value < 0, F.bitwise_not(bits)).otherwise(bits))
+    """The 64 bits of a finite double as a bigint that sorts as the double does; -0.0 is 0.0. Null if not finite.
+
+    Scaling by powers of two is exact. The logarithm may be rounded over a power of two: then the scaled value is just
+    under 1, or 2 or more, instead of from 1 to 2, and the mantissa counts twice, or half. Below the least exponent it
+    counts once.
+    """
+    value = value.cast("double")
+
+    def of(size: Column) -> Column:
+        return _let(F.greatest(F.floor(F.log2(size)).cast("int"), F.lit(1 - BIAS)), lambda e: _let(scaled(size, e), lambda m: joined(m, e)))
+
+    def scaled(size: Column, exponent: Column) -> Column:
+        half = F.shiftright(exponent, 1)
+        return size * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - exponent)
+
+    def joined(m: Column, exponent: Column) -> Column:
+        under = F.least(m - 1, F.lit(0.0)) * (exponent > 1 - BIAS).cast("double")
+        over = F.least(1 - m / 2, F.lit(0.0))
+        return F.shiftleft((exponent + BIAS).cast("bigint"), MANTISSA) + (((m - 1) + under + over) * float(1 << MANTISSA)).cast("bigint")
+
+    # Of a value that isn't finite the size is taken as 0, and the result left out afterwards.
+    good = is_number(value)
+    below = F.coalesce(value < 0, F.lit(False)).cast("bigint")
+    return _let(of(F.abs(F.when(good, value).otherwise(F.lit(0.0)))), lambda bits: bits * (1 - 2 * below) - below) + F.when(good, F.lit(0).cast("bigint"))
 
 
 def from_ordered_bits(bits: Column) -> Column:
@@ -49,16 +67,17 @@ def from_ordered_bits(bits: Column) -> Column:
     return F.when(bits < 0, -size).otherwise(size)
 
 
-def radix_histogram(df: DataFrame, keys: list[str], value: str | Column, bits: int = DIGIT) -> DataFrame:
+def radix_histogram(df: DataFrame, keys: list[str], value: str | Column, bits: int = DIGIT, *, ordered: bool = False) -> DataFrame:
     """(keys, bin, n): counts of the finite values of each group by their leading `bits` bits.
 
     Values that are null, not a number or infinite are not counted; a group without others has no rows. A bin of b bits
     is narrower than its values by 2 ** (12 - b) or more, b > 12: that is the greatest relative error of a percentile.
-    Partial counts are made before the shuffle, so the size of a group doesn't matter. Nulls in a key are a group.
+    Partial counts are made before the shuffle, so the size of a group doesn't matter. Nulls in a key are a group. With
+    `ordered`, the value is what ordered_bits() gave.
     """
     value = F.col(value) if isinstance(value, str) else value
-    bin_ = F.shiftright(ordered_bits(value), 64 - bits).alias("bin")
-    return df.select(*keys, bin_).where(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    bin_ = F.shiftright(value if ordered else ordered_bits(value), 64 - bits).alias("bin")
+    return df.where(value.isNotNull() if ordered else is_number(value.cast("double"))).select(*keys, bin_).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
 
 
 def merge_histograms(parts: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -89,16 +108,20 @@ def histogram_percentiles(histogram: DataFrame, keys: list[str], quantiles: list
     return hit.select(*keys, "quantile", F.col("total").alias("n"), ((low + high) / 2).alias("estimate"), low.alias("lower"), high.alias("upper"))
 
 
-def select_ranks(values: DataFrame, keys: list[str], value: str, targets: DataFrame, *, histogram: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
+def select_ranks(values: DataFrame, keys: list[str], value: str, targets: DataFrame, *, histogram: DataFrame | None = None, ordered: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """(keys, rank, value): the exact value with each wanted rank (1 = smallest) of its group, by four digits of 16 bits.
 
     `targets` has the keys and `rank`; repeated ones count once; ranks below 1 or beyond the number of finite values of
     the group, and nulls in a key, give no row. Each digit's histogram counts only the values under the prefixes that
-    ranks have been followed to, so all but the first pass over few of them.
+    ranks have been followed to, so all but the first pass over few of them. With `ordered`, `value` holds what
+    ordered_bits() gave, which is then computed once and not in each of the first two passes.
     """
     scratch = scratch or Scratch(values.sparkSession, "radix")
     (bits, prefix, rest) = fresh(keys, "value_bits", "prefix", "rest")
-    data = values.select(*keys, ordered_bits(F.col(value)).alias(bits)).where(F.col(bits).isNotNull())
+    if ordered:
+        data = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias(bits))
+    else:
+        data = values.where(is_number(F.col(value).cast("double"))).select(*keys, ordered_bits(F.col(value)).alias(bits))
     state = targets.select(*keys, "rank").where(F.col("rank") >= 1).distinct().withColumn(rest, F.col("rank")).withColumn(prefix, F.lit(0).cast("bigint"))
     for step in range(1, 64 // DIGIT + 1):
         if step == 1:

@@ -9,7 +9,7 @@ from voxelloom.llm import clusters, sql
 from voxelloom.llm.hooking import link_groups
 from voxelloom.llm.mixing import mix
 from voxelloom.llm.packing import pack_documents
-from voxelloom.llm.percentiles import DIGIT, histogram_percentiles, merge_histograms, radix_histogram, select_ranks
+from voxelloom.llm.percentiles import DIGIT, histogram_percentiles, merge_histograms, ordered_bits, radix_histogram, select_ranks
 from voxelloom.llm.repetition import repetition_shares, repetitive
 from voxelloom.llm.tokens import with_token_counts
 from voxelloom.llm.topn import top_n
@@ -88,14 +88,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     first rank whose share is above that lies below it; likewise on the other side. Both ranks are selected exactly."""
     scratch = Scratch(spark, "p2")
     keys = [*GROUP, "metric"]
-    values = scratch.save(_measured(spark, d), "values")
-    histogram = scratch.save(radix_histogram(values, keys, "value", DIGIT), "histogram")
+    values = scratch.save(_measured(spark, d).withColumn("value", ordered_bits(F.col("value"))), "values")
+    histogram = scratch.save(radix_histogram(values, keys, "value", DIGIT, ordered=True), "histogram")
     totals = histogram.groupBy(*keys).agg(F.sum("n").alias("total"))
     claims = _table(spark, d, "reported_percentiles").withColumn("stack_name", stack_key(F.col("stack_name"))).join(totals, keys)
     claims = claims.withColumn("high_rank", _first_count(F.col("total"), F.col("quantile_p") + 0.01, True)).withColumn("low_rank", _first_count(F.col("total"), F.col("quantile_p") - 0.01, False))
     claims = scratch.save(claims, "claims")
     sides = claims.select("claim_id", "claimed_value", *keys, F.explode(F.array(F.struct(F.lit(True).alias("high"), F.col("high_rank").alias("rank")), F.struct(F.lit(False).alias("high"), F.col("low_rank").alias("rank")))).alias("s")).select("claim_id", "claimed_value", *keys, "s.*")
-    selected = select_ranks(values, keys, "value", sides, histogram=histogram, scratch=scratch)
+    selected = select_ranks(values, keys, "value", sides, histogram=histogram, ordered=True, scratch=scratch)
     wrong = sides.join(selected, [*keys, "rank"]).where(F.when(F.col("high"), F.col("value") < F.col("claimed_value")).otherwise(F.col("value") > F.col("claimed_value")))
     return wrong.select("claim_id").distinct()
 
@@ -107,11 +107,11 @@ def p2_exact(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of every image, scene and stack, exact: the values with the ranks ceil(q * n)."""
     scratch = Scratch(spark, "p2")
     keys = [*GROUP, "metric"]
-    values = scratch.save(_measured(spark, d), "values")
-    histogram = scratch.save(radix_histogram(values, keys, "value", DIGIT), "histogram")
+    values = scratch.save(_measured(spark, d).withColumn("value", ordered_bits(F.col("value"))), "values")
+    histogram = scratch.save(radix_histogram(values, keys, "value", DIGIT, ordered=True), "histogram")
     wanted = F.explode(F.array(*map(F.lit, QUANTILES))).alias("quantile_p")
     targets = histogram.groupBy(*keys).agg(F.sum("n").alias("total")).select(*keys, "total", wanted).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("quantile_p") * F.col("total"))))
-    selected = select_ranks(values, keys, "value", targets, histogram=histogram, scratch=scratch)
+    selected = select_ranks(values, keys, "value", targets, histogram=histogram, ordered=True, scratch=scratch)
     return targets.join(selected, [*keys, "rank"]).select(*keys, "quantile_p", F.col("total").alias("n"), "value")
 
 
