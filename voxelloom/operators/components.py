@@ -62,6 +62,7 @@ def label_components(mask: DataFrame, axes: list[str], connectivity: int = 1, *,
     `mask` has a row for each of its pixels; repeated ones count once, as do values that come along. Without `tile` each
     slice is one task's work. With it each tile is, and components are joined over the tiles' seams afterwards.
     """
+    offsets(len(axes), connectivity)  # says so here if there is no such connectivity
     key = slice_key(mask.columns, axes, [c for c in mask.columns if c in ("v", "label", "threshold")])
     pixels = mask.select(*key, *axes).distinct()
     fields = [pixels.schema[c] for c in (*key, *axes)]
