@@ -282,3 +282,18 @@ def test_adaptive_thresholds(spark):
     merged = merge_sketches(halves[0].unionByName(halves[1]), ["source"])
     assert {r["source"]: r["n"] for r in merged.collect()} == {"a": 40, None: 1, "b": 1}
     assert {r["threshold"] for r in adaptive_thresholds(merged, ["source"], 0.99, 0.1, 0.4).collect()} == {0.1, 0.4}
+
+
+def test_many_ranks_of_one_group_with_one_value(spark):
+    df = spark.range(3000).select(F.lit("g").alias("rank_"), F.when(F.col("id") < 2000, 0.0).otherwise(F.col("id").cast("double")).alias("value"))
+    targets = spark.range(1, 3002).select(F.lit("g").alias("rank_"), F.col("id").alias("rank"))
+    got = {r["rank"]: r["value"] for r in select_ranks(df, ["rank_"], "value", targets).collect()}
+    assert got == {r: 0.0 if r <= 2000 else r - 1.0 for r in range(1, 3001)}
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "en", "s", "a b c d e " * 9, 0.5, 7)], "words long, lang string, source string, body string, share double, threshold int")
+    shares = repetition_shares(df, "body", ["words", "lang", "source", "share", "threshold"])
+    assert shares.columns == ["words", "lang", "source", "share", "threshold", "words_", "repeated", "share_"]
+    out = repetitive(shares, "lang", "source", most=0.1, least=0.0, share="share_")
+    assert out.columns[-1] == "threshold_" and out.first()["words"] == 1

@@ -26,18 +26,18 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, *, total: int | None = None)
     """(source, target_share, max_repeats, documents, available, wanted, rate, short), a row for each row of `targets`.
 
     `sizes` is (source, size), `targets` is (source, target_share, max_repeats) with one row a source. `wanted` is the
-    share of `total`, by default the size of all rows, those without a source or of sources not in `targets` included.
+    share of `total`, by default the size of all rows (one number, summed up at once), those without a source or of sources not in `targets` included.
     rate = least(max_repeats, wanted / available). A source is short if all it has, max_repeats times, is less than
     wanted; without documents it is always short. Null or negative sizes count as 0; a null target_share is 0 and a
     null or negative max_repeats is 0. Rows of `targets` without a source are left out.
     """
     size = F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0))
     have = sizes.groupBy("source").agg(F.count("*").alias("documents"), F.sum(size).cast("bigint").alias("available"))
-    whole = F.lit(total).cast("bigint") if total is not None else F.col("whole")
-    sums = have.agg(F.coalesce(F.sum("available"), F.lit(0)).cast("bigint").alias("whole"))
+    if total is None:
+        total = sizes.agg(F.sum(size)).first()[0] or 0
     wants = targets.where(F.col("source").isNotNull()).select("source", F.coalesce("target_share", F.lit(0.0)).cast("double").alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).cast("bigint").alias("max_repeats"))
-    plan = wants.join(have, "source", "left").join(F.broadcast(sums)).select(
-        "source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"), F.coalesce("available", F.lit(0)).cast("bigint").alias("available"), (F.col("target_share") * whole).alias("wanted")
+    plan = wants.join(have, "source", "left").select(
+        "source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"), F.coalesce("available", F.lit(0)).cast("bigint").alias("available"), (F.col("target_share") * F.lit(total).cast("bigint")).alias("wanted")
     )
     rate = F.when(F.col("available") > 0, F.least(F.col("max_repeats").cast("double"), F.col("wanted") / F.col("available"))).otherwise(F.lit(0.0))
     return plan.withColumn("rate", rate).withColumn("short", (F.col("documents") == 0) | (F.col("max_repeats") * F.col("available") < F.col("wanted")))
@@ -70,6 +70,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, total: int | None = None, s
     out = scratch.save(placed.select("doc_id", "source", "size", copies.alias("copies")).where("copies > 0"), "copies")
     reached = out.groupBy("source").agg(F.count("*").alias("used_documents"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("size")).alias("reached"))
     zero = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("used_documents", "copies", "reached")}
-    whole = reached.agg(F.coalesce(F.sum("reached"), F.lit(0)).alias("mixed"))
-    report = plan.join(reached, "source", "left").withColumns(zero).join(F.broadcast(whole)).withColumn("reached_share", F.when(F.col("mixed") > 0, F.col("reached") / F.col("mixed")).otherwise(0.0)).drop("mixed")
+    mixed = out.agg(F.sum(F.col("copies") * F.col("size"))).first()[0] or 0
+    share = F.col("reached") / F.lit(mixed) if mixed else F.lit(0.0)
+    report = plan.join(reached, "source", "left").withColumns(zero).withColumn("reached_share", share)
     return out, report

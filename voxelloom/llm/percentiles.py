@@ -20,6 +20,7 @@ from voxelloom.runtime import Scratch, fresh
 DIGIT = 16
 MANTISSA = 52
 BIAS = 1023
+SMALL_BLOCK = 256
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -117,28 +118,32 @@ def select_ranks(values: DataFrame, keys: list[str], value: str, targets: DataFr
     ordered_bits() gave, which is then computed once and not in each of the first two passes.
     """
     scratch = scratch or Scratch(values.sparkSession, "radix")
-    (bits, prefix, rest) = fresh(keys, "value_bits", "prefix", "rest")
+    (bits, prefix, rest, whole, block) = fresh([*keys, "rank", "bin", "n", "upto"], "value_bits", "prefix", "rest", "whole", "block")
     if ordered:
         data = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias(bits))
     else:
         data = values.where(is_number(F.col(value).cast("double"))).select(*keys, ordered_bits(F.col(value)).alias(bits))
-    state = targets.select(*keys, "rank").where(F.col("rank") >= 1).distinct().withColumn(rest, F.col("rank")).withColumn(prefix, F.lit(0).cast("bigint"))
+    counts = histogram if histogram is not None else scratch.save(data.groupBy(*keys, F.shiftright(bits, 64 - DIGIT).alias("bin")).agg(F.count("*").alias("n")), "bins")
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias(whole))
+    state = targets.select(*keys, "rank").where(F.col("rank") >= 1).distinct().join(totals, keys)
+    state = state.withColumn(rest, F.col("rank")).withColumn(prefix, F.lit(0).cast("bigint")).where(F.col(rest) <= F.col(whole))
+    # Ranks meet bins by blocks of ranks, so that neither many ranks nor many bins of one group come together at once:
+    # a group has at most 2 ** DIGIT + 1 blocks, and a small one no more than its values by SMALL_BLOCK.
+    width = F.greatest(F.lit(SMALL_BLOCK), F.ceil(F.col(whole) / (1 << DIGIT)))
     for step in range(1, 64 // DIGIT + 1):
-        if step == 1:
-            under = keys
-            counts = histogram if histogram is not None else data.groupBy(*keys, F.shiftright(bits, 64 - DIGIT).alias("bin")).agg(F.count("*").alias("n"))
-        else:
-            under = [*keys, prefix]
+        under = keys if step == 1 else [*keys, prefix]
+        if step > 1:
             followed = state.select(*under).distinct()
-            shift = 64 - DIGIT * (step - 1)
-            data = data.withColumn(prefix, F.shiftright(bits, shift)).join(followed, under, "left_semi")
+            data = data.withColumn(prefix, F.shiftright(bits, 64 - DIGIT * (step - 1))).join(followed, under, "left_semi")
             if step == 2:
                 data = scratch.save(data, "followed")
             # The sign is in the first digit; later digits count from 0.
             digit = F.shiftright(bits, 64 - DIGIT * step).bitwiseAND(F.lit((1 << DIGIT) - 1))
             counts = data.groupBy(*under, digit.alias("bin")).agg(F.count("*").alias("n"))
-        cells = _cumulated(counts, under)
-        hit = state.join(cells, under).where((F.col("upto") >= F.col(rest)) & (F.col("upto") - F.col("n") < F.col(rest)))
+        cells = _cumulated(counts, under).withColumn(whole, F.sum("n").over(Window.partitionBy(*under)))
+        blocks = F.sequence(F.floor((F.col("upto") - F.col("n")) / width), F.floor((F.col("upto") - 1) / width))
+        cells = cells.withColumn(block, F.explode(blocks)).drop(whole)
+        hit = state.withColumn(block, F.floor((F.col(rest) - 1) / width)).join(cells, [*under, block]).where((F.col("upto") >= F.col(rest)) & (F.col("upto") - F.col("n") < F.col(rest)))
         longer = F.col("bin") if step == 1 else F.shiftleft(prefix, DIGIT) + F.col("bin")
-        state = scratch.save(hit.select(*keys, "rank", (F.col(rest) - (F.col("upto") - F.col("n"))).alias(rest), longer.alias(prefix)), f"digit{step}")
+        state = scratch.save(hit.select(*keys, "rank", (F.col(rest) - (F.col("upto") - F.col("n"))).alias(rest), longer.alias(prefix), F.col("n").alias(whole)), f"digit{step}")
     return state.select(*keys, "rank", from_ordered_bits(F.col(prefix)).alias("value"))

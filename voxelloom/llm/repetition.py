@@ -105,8 +105,8 @@ def adaptive_thresholds(sketches: DataFrame, by: list[str], quantile: float, lea
     return sketches.select(*by, F.least(F.greatest(at, F.lit(float(least))), F.lit(float(most))).alias("threshold"))
 
 
-def repetitive(shares: DataFrame, language: str, source: str, *, quantile: float = 0.99, least: float = 0.05, most: float = 1.0, scratch: Scratch | None = None) -> DataFrame:
-    """Rows of `shares` whose share is above the threshold of their language and source, with `threshold`.
+def repetitive(shares: DataFrame, language: str, source: str, *, quantile: float = 0.99, least: float = 0.05, most: float = 1.0, share: str = "share", scratch: Scratch | None = None) -> DataFrame:
+    """Rows of `shares` whose `share` is above the threshold of their language and source, with `threshold`.
 
     Languages count without case; a null language or source is a group of its own. `most` is where a threshold never
     goes beyond: with most = m every document above m comes out, whatever is usual in its group. Every row counts,
@@ -115,6 +115,6 @@ def repetitive(shares: DataFrame, language: str, source: str, *, quantile: float
     scratch = scratch or Scratch(shares.sparkSession, "repetition")
     lang, src, threshold = fresh(shares.columns, "language_key", "source_key", "threshold")
     keyed = scratch.save(shares.withColumn(lang, F.lower(F.trim(F.coalesce(F.col(language), F.lit(""))))).withColumn(src, F.coalesce(F.col(source), F.lit(""))), "shares")
-    sketches = scratch.save(share_sketches(keyed, [lang, src]), "sketches")
+    sketches = scratch.save(share_sketches(keyed, [lang, src], share), "sketches")
     limits = scratch.save(adaptive_thresholds(sketches, [lang, src], quantile, least, most).withColumnRenamed("threshold", threshold), "thresholds")
-    return keyed.join(small(limits), [lang, src]).where(F.col("share") > F.col(threshold)).drop(lang, src)
+    return keyed.join(small(limits), [lang, src]).where(F.col(share) > F.col(threshold)).drop(lang, src)
