@@ -131,3 +131,22 @@ def descend(points: np.ndarray, splits: list[tuple[int, float, int, int]], reach
         done.append((who[leaf], -node[leaf] - 1, home[leaf]))
         who, node, home = who[~leaf], node[~leaf], home[~leaf]
     return tuple(np.concatenate(x) for x in zip(*done))
+
+
+def descend_boxes(low: np.ndarray, high: np.ndarray, splits: list[tuple[int, float, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(box, leaf) of every leaf that a box, its borders included, may share a point with."""
+    n = len(low)
+    if not splits:
+        return np.arange(n), np.zeros(n, dtype=np.int64)
+    axis, value = np.array([s[0] for s in splits]), np.array([s[1] for s in splits])
+    child = np.array([[s[2], s[3]] for s in splits])
+    who, node = np.arange(n), np.zeros(n, dtype=np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(who):
+        v = value[node]
+        left, right = low[who, axis[node]] <= v, high[who, axis[node]] > v
+        who, node = np.concatenate([who[left], who[right]]), np.concatenate([child[node[left], 0], child[node[right], 1]])
+        leaf = node < 0
+        done.append((who[leaf], -node[leaf] - 1))
+        who, node = who[~leaf], node[~leaf]
+    return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])

@@ -11,7 +11,7 @@ chord". Places in a plane are already vectors; they keep their own coordinates,
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelloom.operators.current import is_number
-from voxelloom.operators.kdtree import SLACK, KdTree, descend, split_box
+from voxelloom.operators.kdtree import SLACK, KdTree, descend, descend_boxes, split_box
 from voxelloom.runtime import Scratch, small
 
 EARTH_RADIUS_KM = 6371.0088
@@ -58,50 +58,69 @@ def _points(df: DataFrame, side: int, group: list[str], identity: str, coordinat
     return out.where(ok)
 
 
-def _cells(points: DataFrame, scratch: Scratch, dims: int, reach: float, cell_points: int, most_leaves: int) -> DataFrame:
-    """The points with a cell each, and copies of those within reach of a neighbouring cell (home false)."""
-    spark = scratch.spark
-    counts = scratch.save(points.groupBy("g").agg(F.count("*").alias("n")), "counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    target = max(cell_points, total // most_leaves + 1)
-    bins = int(max(1, -(-total // target)))
-    # There are fewer than total / target groups above the target, so no more than most_leaves.
-    heavy = [(r["g"], r["n"]) for r in counts.where(F.col("n") > target).orderBy(F.col("n").desc()).limit(most_leaves).collect()]
-    light = points
-    parts = []
-    if heavy:
-        keys = spark.createDataFrame([(g, k, n) for k, (g, n) in enumerate(heavy)], T.StructType([T.StructField("g", points.schema["g"].dataType), T.StructField("k", T.IntegerType()), T.StructField("n", T.LongType())]))
-        keys = small(keys, most_leaves)
-        light = points.join(keys, "g", "left_anti")
-        crowded = points.join(keys, "g")
-        # A sample by hash only places the splits; every point takes part.
-        rate = F.least(F.lit(1.0), SAMPLE_PER_LEAF * F.ceil(F.col("n") / target) / F.col("n"))
-        picked = crowded.where(F.pmod(F.xxhash64("id", *(f"x{k}" for k in range(dims))), F.lit(1 << 30)) < rate * float(1 << 30))
-        sample = picked.select("k", *(f"x{k}" for k in range(dims))).limit(2 * SAMPLE_PER_LEAF * (most_leaves + len(heavy))).toPandas()
-        trees = {k: split_box(p.iloc[:, 1:].to_numpy(), int(-(-heavy[k][1] // target))) for k, p in sample.groupby("k")}
-        sent = spark.sparkContext.broadcast(trees)
-        fields = [f for f in crowded.select("id", "side", *(f"x{k}" for k in range(dims)), "g").schema]
-        schema = T.StructType([T.StructField("cell", T.StringType()), T.StructField("home", T.BooleanType()), *fields])
-
-        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class _Cells:
+    """How points are parted: small groups share cells by hash, larger ones have k-d leaves of their own."""
+
+    def __init__(self, points: DataFrame, scratch: Scratch, dims: int, cell_points: int, most_leaves: int):
+        spark = scratch.spark
+        self.dims, kind = dims, points.schema["g"].dataType
+        self.names = [f"x{k}" for k in range(dims)]
+        self.text = F.to_json("g") if isinstance(kind, T.StructType) else F.col("g")
+        counts = scratch.save(points.groupBy("g").agg(F.count("*").alias("n")), "counts")
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        target = max(cell_points, total // most_leaves + 1)
+        self.bins = int(max(1, -(-total // target)))
+        # There are fewer than total / target groups above the target, so no more than most_leaves.
+        heavy = [(r["g"], k, r["n"]) for k, r in enumerate(counts.where(F.col("n") > target).orderBy(F.col("n").desc()).limit(most_leaves).collect())]
+        self.keys = None
+        if heavy:
+            schema = T.StructType([T.StructField("g", kind), T.StructField("k", T.IntegerType()), T.StructField("n", T.LongType())])
+            self.keys = small(spark.createDataFrame(heavy, schema), most_leaves)
+            # A sample by hash only places the splits; every point takes part.
+            rate = F.least(F.lit(1.0), SAMPLE_PER_LEAF * F.ceil(F.col("n") / target) / F.col("n"))
+            picked = points.join(self.keys, "g").where(F.pmod(F.xxhash64("id", *self.names), F.lit(1 << 30)) < rate * float(1 << 30))
+            sample = picked.select("k", *self.names).limit(2 * SAMPLE_PER_LEAF * (most_leaves + len(heavy))).toPandas()
+            trees = {k: split_box(p.iloc[:, 1:].to_numpy(), int(-(-heavy[k][2] // target))) for k, p in sample.groupby("k")}
+            self.trees = spark.sparkContext.broadcast(trees)
+
+    def _parted(self, df: DataFrame, place: Callable[[pd.DataFrame, list], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+        """df, its group as text, with `cell` and `home`; `place` gives (row, leaf, home) of the rows of one large group."""
+        columns = [c for c in df.columns if c != "g"]
+        hashed = F.concat(F.lit("h"), F.pmod(F.xxhash64("g"), F.lit(self.bins)).cast("string"))
+        rest = (df if self.keys is None else df.join(self.keys, "g", "left_anti")).select(hashed.alias("cell"), F.lit(True).alias("home"), *columns, self.text.alias("g"))
+        if self.keys is None:
+            return rest
+        schema, trees = rest.schema, self.trees
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for k, part in pdf.groupby("k"):
-                    who, leaf, home = descend(part[[f"x{i}" for i in range(dims)]].to_numpy(), sent.value.get(k, []), reach)
-                    out = part.iloc[who]
-                    cell = np.char.add(f"k{k}-", leaf.astype(str)) if len(leaf) else np.array([], dtype=str)
-                    yield out[[f.name for f in fields]].assign(cell=cell, home=home)[[f.name for f in schema]]
+                    who, leaf, home = place(part, trees.value.get(k, []))
+                    if len(who):
+                        yield part.iloc[who].assign(cell=np.char.add(f"k{k}-", leaf.astype(str)), home=home)[schema.names]
 
-        flat = crowded.withColumn("g", F.to_json("g") if isinstance(points.schema["g"].dataType, T.StructType) else F.col("g")).drop("n")
-        schema["g"].dataType = T.StringType()
-        parts.append(flat.mapInPandas(place, schema))
-    text = F.to_json("g") if isinstance(points.schema["g"].dataType, T.StructType) else F.col("g")
-    rest = light.select(F.concat(F.lit("h"), F.pmod(F.xxhash64("g"), F.lit(bins)).cast("string")).alias("cell"), F.lit(True).alias("home"), "id", "side", *(f"x{k}" for k in range(dims)), text.alias("g"))
-    return rest.unionByName(parts[0].select(*rest.columns)) if parts else rest
+        large = df.join(self.keys, "g").select(*columns, self.text.alias("g"), "k")
+        return rest.unionByName(large.mapInPandas(run, schema))
+
+    def points(self, points: DataFrame, reach: float) -> DataFrame:
+        """Every point at home in its cell, and copies (home false) in the cells within reach."""
+        names = self.names
+        return self._parted(points, lambda part, tree: descend(part[names].to_numpy(), tree, reach))
+
+    def boxes(self, shapes: DataFrame) -> DataFrame:
+        """Every shape, with the corners low_0… and high_0… of its box, in each cell that its box meets."""
+        low, high = ([f"{n}_{k}" for k in range(self.dims)] for n in ("low", "high"))
+
+        def place(part: pd.DataFrame, tree: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            who, leaf = descend_boxes(part[low].to_numpy(), part[high].to_numpy(), tree)
+            return who, leaf, np.ones(len(who), dtype=bool)
+
+        return self._parted(shapes, place)
 
 
 def _near(points: DataFrame, scratch: Scratch, dims: int, radius: float, own: bool, cell_points: int, most_leaves: int, with_distance: bool) -> DataFrame:
     identity = points.schema["id"].dataType
-    cells = _cells(points, scratch, dims, radius * (1 + SLACK), cell_points, most_leaves)
+    cells = _Cells(points, scratch, dims, cell_points, most_leaves).points(points, radius * (1 + SLACK))
     schema = T.StructType([T.StructField("id_a", identity), T.StructField("id_b", identity), T.StructField("distance", T.DoubleType())])
     names = [f"x{k}" for k in range(dims)]
 
@@ -203,44 +222,32 @@ def points_in_polygons(points: DataFrame, group: list[str], identity: str, y: Co
     scratch = scratch or Scratch(points.sparkSession, "inside")
     pts = scratch.save(_points(points, 0, group, identity, [y, x]), "points")
     good = F.forall("v", lambda p: is_number(p["y"].cast("double")) & is_number(p["x"].cast("double")))
-    named = polygons.select(F.struct(*(F.col(g) for g in group)).alias("g") if group else F.lit("").alias("g"), F.col(polygon_id).alias("poly"), F.transform(vertices, lambda p: F.struct(p["y"].cast("double").alias("y"), p["x"].cast("double").alias("x"))).alias("v"))
+    corners = F.transform(vertices, lambda p: F.struct(p["y"].cast("double").alias("y"), p["x"].cast("double").alias("x")))
+    named = polygons.select(F.struct(*(F.col(g) for g in group)).alias("g") if group else F.lit("").alias("g"), F.col(polygon_id).alias("poly"), corners.alias("v"))
     keep = F.col("poly").isNotNull() & (F.size("v") >= 3) & good
     for name in group:
         keep &= F.col(f"g.{name}").isNotNull()
-    shapes = named.where(keep).distinct()
-    key = F.to_json("g") if group else F.col("g")
-
-    # Cells: a grid by group, as wide as gives cells the wanted number of points if they were even; rows of the grid that
-    # hold more are cut again by the sweep itself, as each cell is answered in bounded steps.
-    box = pts.groupBy("g").agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("x0", "x1") for f in (F.min, F.max)))
-    steps = F.greatest(F.lit(1), F.least(F.ceil(F.sqrt(F.col("n") / cell_points)), F.lit(int(math.sqrt(most_leaves)))))
-    grid = scratch.save(box.select("g", steps.alias("steps"), *(F.col(f"{f}_{c}") for c in ("x0", "x1") for f in ("min", "max"))), "grid")
-    grid = small(grid)
-
-    def step(c: str, value: Column) -> Column:
-        return F.when(F.col(f"max_{c}") > F.col(f"min_{c}"), F.floor((value - F.col(f"min_{c}")) / (F.col(f"max_{c}") - F.col(f"min_{c}")) * F.col("steps"))).otherwise(F.lit(0)).cast("bigint")
-
-    def clip(value: Column) -> Column:
-        return F.least(F.greatest(value, F.lit(0)), F.col("steps") - 1)
-
-    homes = pts.join(grid, "g").select(key.alias("g"), clip(step("x0", F.col("x0"))).alias("i"), clip(step("x1", F.col("x1"))).alias("j"), "id", "x0", "x1")
-    vs = {c: F.transform("v", lambda p: p[c]) for c in ("y", "x")}  # noqa: B023 - called at once
-    ends = {f"{name}_{c}_v": f(vs[c]) for name, f in (("lo", F.array_min), ("hi", F.array_max)) for c in ("y", "x")}
-    met = shapes.join(grid, "g").withColumns(ends).where((F.col("hi_y_v") >= F.col("min_x0")) & (F.col("lo_y_v") <= F.col("max_x0")) & (F.col("hi_x_v") >= F.col("min_x1")) & (F.col("lo_x_v") <= F.col("max_x1")))
-    met = met.withColumn("i", F.explode(F.sequence(clip(step("x0", F.col("lo_y_v"))), clip(step("x0", F.col("hi_y_v")))))).withColumn("j", F.explode(F.sequence(clip(step("x1", F.col("lo_x_v"))), clip(step("x1", F.col("hi_x_v"))))))
-    met = met.select(key.alias("g"), "i", "j", "poly", F.transform("v", lambda p: p["y"]).alias("vy"), F.transform("v", lambda p: p["x"]).alias("vx"))
+    sides = {k: F.transform("v", lambda p: p[c]) for k, c in enumerate("yx")}  # noqa: B023 - called at once
+    shapes = named.where(keep).distinct().select("g", "poly", *(f(sides[k]).alias(f"{n}_{k}") for n, f in (("low", F.array_min), ("high", F.array_max)) for k in (0, 1)), sides[0].alias("vy"), sides[1].alias("vx"))
+    cells = _Cells(pts, scratch, 2, cell_points, most_leaves)
+    homes = cells.points(pts, 0.0).where("home").select("cell", "g", "id", "x0", "x1")
+    met = cells.boxes(shapes).select("cell", "g", "poly", "vy", "vx")
     schema = T.StructType([T.StructField("id", pts.schema["id"].dataType), T.StructField("polygon_id", shapes.schema["poly"].dataType)])
 
     def sweep(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or s.empty:
-            return pd.DataFrame({"id": p["id"].iloc[:0], "polygon_id": s["poly"].iloc[:0]})
-        sizes = s["vy"].map(len).to_numpy()
-        vy, vx = np.concatenate(s["vy"].to_list()), np.concatenate(s["vx"].to_list())
-        last = np.cumsum(sizes) - 1
-        nxt = np.arange(1, len(vy) + 1)
-        nxt[last] = last - sizes + 1
-        names, which = np.unique(s["poly"].to_numpy(), return_inverse=True)
-        i, k = crossings(p["x0"].to_numpy(), p["x1"].to_numpy(), np.column_stack([vy, vx, vy[nxt], vx[nxt]]), np.repeat(which, sizes))
-        return pd.DataFrame({"id": p["id"].to_numpy()[i], "polygon_id": names[k]})
-
-    return homes.groupBy("g", "i", "j").cogroup(met.groupBy("g", "i", "j")).applyInPandas(sweep, schema)
+        by_group = dict(list(s.groupby("g")))
+        found = [p.iloc[:0][["id"]].assign(polygon_id=s["poly"].iloc[:0])]
+        for g, here in p.groupby("g"):
+            if (there := by_group.get(g)) is None:
+                continue
+            sizes = there["vy"].map(len).to_numpy()
+            vy, vx = np.concatenate(there["vy"].to_list()), np.concatenate(there["vx"].to_list())
+            last = np.cumsum(sizes) - 1
+            after = np.arange(1, len(vy) + 1)
+            after[last] = last - sizes + 1
+            names, which = np.unique(there["poly"].to_numpy(), return_inverse=True)
+            i, k = crossings(here["x0"].to_numpy(), here["x1"].to_numpy(), np.column_stack([vy, vx, vy[after], vx[after]]), np.repeat(which, sizes))
+            found.append(pd.DataFrame({"id": here["id"].to_numpy()[i], "polygon_id": names[k]}))
+        return pd.concat(found)
+
+    return homes.groupBy("cell").cogroup(met.groupBy("cell")).applyInPandas(sweep, schema)
