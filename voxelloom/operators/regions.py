@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -214,15 +215,17 @@ def convex_properties(labels: DataFrame, key: list[str]) -> DataFrame:
     """
     pixels = labels.where(F.col("label") > 0)
     rows = pixels.groupBy(*key, "label", "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    # One row for each region, as long as it is high: no group of its own for each in Python.
+    outlines = rows.groupBy(*key, "label").agg(F.collect_list("y").alias("y"), F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"), F.sum("n").alias("n"))
     schema = T.StructType([*(labels.schema[c] for c in (*key, "label")), T.StructField("area_convex", T.LongType()), T.StructField("solidity", T.DoubleType()), T.StructField("feret_diameter_max", T.DoubleType())])
 
-    def each(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.concatenate([pdf["y"], pdf["y"]]).astype(float)
-        x = np.concatenate([pdf["lo"], pdf["hi"]]).astype(float)
-        area, far = _hull_row(y, x)
-        return pd.DataFrame({**{c: [v] for c, v in zip([*key, "label"], name)}, "area_convex": [area], "solidity": [pdf["n"].sum() / area], "feret_diameter_max": [far]})
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [_hull_row(np.concatenate([y, y]).astype(float), np.concatenate([lo, hi]).astype(float)) for y, lo, hi in zip(pdf["y"], pdf["lo"], pdf["hi"])]
+            area = np.array([m[0] for m in made], dtype=np.int64)
+            yield pdf[[*key, "label"]].assign(area_convex=area, solidity=pdf["n"].to_numpy() / area, feret_diameter_max=[m[1] for m in made])
 
-    return rows.groupBy(*key, "label").applyInPandas(each, schema)
+    return outlines.mapInPandas(each, schema)
 
 
 def intensity_properties(labels: DataFrame, voxels: DataFrame, key: list[str], axes: list[str], value: str = "v") -> DataFrame:
