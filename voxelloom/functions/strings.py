@@ -48,8 +48,18 @@ def suffix_of(name: Column, pattern: str) -> Column:
     return F.when(fits, F.substring(name, len(before) + 1, 1 << 30)).otherwise(name)
 
 
+def characters(path: Column) -> Column:
+    """The set of a path's characters."""
+    return F.array_remove(F.array_distinct(F.split(path, "")), "")
+
+
+def shared_characters(x: Column, y: Column) -> Column:
+    """Shared share of two sets; 1 if both are empty."""
+    common = F.size(F.array_intersect(x, y))
+    union = F.size(x) + F.size(y) - common
+    return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
+
+
 def path_similarity(a: Column, b: Column) -> Column:
     """Shared share of the two paths' sets of characters; 1 if both are empty."""
-    x, y = (F.array_remove(F.array_distinct(F.split(p, "")), "") for p in (a, b))
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
+    return shared_characters(characters(a), characters(b))

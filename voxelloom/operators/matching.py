@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Hashable, Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelloom.functions.strings import basename, parent, path_similarity, suffix_of
+from voxelloom.functions.strings import basename, characters, parent, path_similarity, shared_characters, suffix_of
 from voxelloom.runtime import Scratch
 
 
@@ -38,10 +43,13 @@ def zip_paths(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def path_scores(a: DataFrame, b: DataFrame, block: Column | None = None) -> DataFrame:
     """(path_a, path_b, score) of paths that have the same `block` (a column of path); of all, without it."""
-    left, right = a.select(F.col("path").alias("path_a")), b.select(F.col("path").alias("path_b"))
-    s = path_similarity(F.col("path_a"), F.col("path_b")).alias("score")
     if block is None:
-        return left.crossJoin(right).select("path_a", "path_b", s)
+        # Spread over the tasks, as a short list would be one task otherwise, however many pairs it makes.
+        tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left, right = a.select(F.col("path").alias("path_a")).repartition(tasks), b.select(F.col("path").alias("path_b"))
+        pairs = left.withColumn("x", characters(F.col("path_a"))).crossJoin(right.withColumn("y", characters(F.col("path_b"))))
+        return pairs.select("path_a", "path_b", shared_characters(F.col("x"), F.col("y")).alias("score"))
+    s = path_similarity(F.col("path_a"), F.col("path_b")).alias("score")
     left = a.select(F.col("path").alias("path_a"), block.alias("block"))
     right = b.select(F.col("path").alias("path_b"), block.alias("block"))
     return left.join(right, "block").select("path_a", "path_b", s)
@@ -65,6 +73,135 @@ def mutual_best(scores: DataFrame, *, scratch: Scratch | None = None) -> DataFra
     return out if out is not None else left
 
 
+_NONE = np.iinfo(np.int64).max
+
+
+class _Sets:
+    """The sets of characters of a list of paths, each once; a score depends on nothing else of the paths."""
+
+    def __init__(self, paths: list[str], alphabet: dict[str, int]):
+        number: dict[frozenset, int] = {}
+        self.own = [number.setdefault(frozenset(p), len(number)) for p in paths]
+        self.has = np.zeros((len(number), len(alphabet)), dtype=np.float32)
+        for s, k in number.items():
+            self.has[k, [alphabet[c] for c in s]] = 1
+        self.sizes = self.has.sum(axis=1).astype(float)
+
+    def scores(self, k: int, others: _Sets) -> np.ndarray:
+        """Of set k with all the others' sets."""
+        common = (others.has @ self.has[k]).astype(float)
+        union = self.sizes[k] + others.sizes - common
+        return np.where(union == 0, 1.0, common / np.maximum(union, 1))
+
+
+def _both(a: list[str], b: list[str]) -> tuple[_Sets, _Sets]:
+    alphabet = {c: k for k, c in enumerate(sorted({c for p in (*a, *b) for c in p}))}
+    return _Sets(a, alphabet), _Sets(b, alphabet)
+
+
+class _Pool:
+    """Places of paths in order, by set. `taken` is shared by all pools of a list."""
+
+    def __init__(self, places: Iterable[int], own: list[int], taken: np.ndarray):
+        queues: dict[int, list[int]] = {}
+        for p in places:
+            queues.setdefault(own[p], []).append(p)
+        self.taken, self.sets, self.queues = taken, np.array(list(queues), dtype=int), [iter(q) for q in queues.values()]
+        self.heads = np.array([next(q) for q in self.queues], dtype=np.int64)
+
+    def best(self, scores: np.ndarray) -> tuple[float, int] | None:
+        """(score, place) of the best that is left, ties to the first place."""
+        while len(self.sets):
+            mine = np.where(self.heads < _NONE, scores[self.sets], -1.0)
+            top = mine.max()
+            if top < 0:
+                break
+            at = np.flatnonzero(mine == top)
+            k = at[self.heads[at].argmin()]
+            if not self.taken[self.heads[k]]:
+                return float(top), int(self.heads[k])
+            self.heads[k] = next(self.queues[k], _NONE)
+        return None
+
+
+def _pools(keys: list[Hashable], own: list[int], taken: np.ndarray) -> dict[Hashable, _Pool]:
+    places: dict[Hashable, list[int]] = {}
+    for p, key in enumerate(keys):
+        places.setdefault(key, []).append(p)
+    return {key: _Pool(at, own, taken) for key, at in places.items()}
+
+
+def _greedy(a: list[str], b: list[str]) -> list[tuple[int, int, float]]:
+    """(place in a, place in b, score) of two lists in order of path. The sets of a wait by their best score, which can
+    only fall as paths are taken; a set whose score still holds when its turn comes gives the next pair."""
+    x, y = _both(a, b)
+    taken = np.zeros(len(b), dtype=bool)
+    pool = _Pool(range(len(b)), y.own, taken)
+    queues: dict[int, list[int]] = {}
+    for p in reversed(range(len(a))):
+        queues.setdefault(x.own[p], []).append(p)
+    turns, out = [(-2.0, q[-1], k) for k, q in queues.items()], []
+    heapq.heapify(turns)
+    while turns:
+        bound, place, k = heapq.heappop(turns)
+        found = pool.best(x.scores(k, y))
+        if found is None:
+            break
+        if -found[0] != bound:
+            heapq.heappush(turns, (-found[0], place, k))
+            continue
+        out.append((place, found[1], found[0]))
+        taken[found[1]] = True
+        queues[k].pop()
+        if queues[k]:
+            heapq.heappush(turns, (bound, queues[k][-1], k))
+    return out
+
+
+def greedy_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(path_a, path_b, score): of all pairs the best first, each path once, ties by path_a, then path_b; the shorter
+    side comes out whole. Taken one after the other, in one task that holds both lists but no pairs: lists of files,
+    not data."""
+    sides = a.select(F.lit(True).alias("left"), "path").distinct().unionByName(b.select(F.lit(False).alias("left"), "path").distinct())
+
+    def take(df: pd.DataFrame) -> pd.DataFrame:
+        x, y = (sorted(df.loc[df["left"] == side, "path"]) for side in (True, False))
+        return pd.DataFrame([(x[i], y[j], s) for i, j, s in _greedy(x, y)], columns=["path_a", "path_b", "score"])
+
+    return sides.where("path is not null").groupBy().applyInPandas(take, "path_a string, path_b string, score double")
+
+
+def greedy_candidates(a: DataFrame, b: DataFrame, pattern_a: str, pattern_b: str) -> DataFrame:
+    """(path_a, path_b): each a in order of path takes the best b that is left, and each b goes to one a. The best is one
+    of the same suffix, those of the same folder first; without any, one of the same folder; without any, one of any
+    similarity above 0. Of several the most similar, then the first by path. In one task, as greedy_pairs()."""
+
+    def side(df: DataFrame, left: bool, pattern: str) -> DataFrame:
+        p = F.col("path")
+        return df.select(F.lit(left).alias("left"), "path", suffix_of(basename(p), pattern).alias("suffix"), parent(p).alias("folder")).distinct()
+
+    def take(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("path", kind="stable")
+        x, y = (df[df["left"] == k] for k in (True, False))
+        paths_a, paths_b = list(x["path"]), list(y["path"])
+        sets_a, sets_b = _both(paths_a, paths_b)
+        taken, out = np.zeros(len(paths_b), dtype=bool), []
+        suffixes, folders = list(y["suffix"]), list(y["folder"])
+        tiers = [_pools(keys, sets_b.own, taken) for keys in (list(zip(suffixes, folders)), suffixes, folders, [None] * len(folders))]
+        for k, suffix, folder in zip(range(len(paths_a)), x["suffix"], x["folder"]):
+            scores = sets_a.scores(sets_a.own[k], sets_b)
+            for n, (pools, key) in enumerate(zip(tiers, ((suffix, folder), suffix, folder, None))):
+                found = pools[key].best(scores) if key in pools else None
+                if found and (n < 3 or found[0] > 0):
+                    out.append((paths_a[k], paths_b[found[1]]))
+                    taken[found[1]] = True
+                    break
+        return pd.DataFrame(out, columns=["path_a", "path_b"])
+
+    both = side(a, True, pattern_a).unionByName(side(b, False, pattern_b)).where("path is not null")
+    return both.groupBy().applyInPandas(take, "path_a string, path_b string")
+
+
 def best_candidates(a: DataFrame, b: DataFrame, pattern_a: str, pattern_b: str) -> DataFrame:
     """(path_a, path_b): for each a the best b by same suffix, then same folder, then similarity above 0, then path."""
     left = a.select(F.col("path").alias("path_a"), suffix_of(basename(F.col("path")), pattern_a).alias("suffix_a"))

@@ -55,8 +55,7 @@ def pair_zip(spark, d):
 
 
 def path_similarity(spark, d):
-    scores = matching.path_scores(*_sides(spark, d), F.substring(parent(F.col("path")), 1, 7))
-    return scores.withColumn("score", F.round("score", 6))
+    return matching.path_scores(*_sides(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def path_best_candidate(spark, d):
@@ -65,8 +64,7 @@ def path_best_candidate(spark, d):
 
 
 def pair_mutual_best(spark, d):
-    scores = matching.path_scores(*_sides(spark, d), F.substring(parent(F.col("path")), 1, 7))
-    return matching.mutual_best(scores).withColumn("score", F.round("score", 6))
+    return matching.greedy_pairs(*_sides(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def train_val_split(spark, d):
