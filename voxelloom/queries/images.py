@@ -697,7 +697,7 @@ def nearest_neighbor_distance(spark, d):
 
     rows = current_rows(spark.read.parquet(f"{d}/regions.parquet").select("region_id", *SLICE, "centroid_0", "centroid_1", "ingested_at"), "region_id", "ingested_at")
     rows = rows.where(is_number(F.col("centroid_0")) & is_number(F.col("centroid_1")))
-    return rounded(neighbors.nearest_distances(rows, SLICE, "region_id", F.col("centroid_0"), F.col("centroid_1"), cell=20.0, most=20.0), "distance")
+    return rounded(neighbors.nearest_distances(rows, SLICE, "region_id", F.col("centroid_0"), F.col("centroid_1"), cell=20.0), "distance")
 
 
 @query(f"WITH RECURSIVE {LABELS} SELECT c, z, count(DISTINCT label) AS regions, round(count(DISTINCT label) / 1024, 6) AS density FROM labels GROUP BY ALL")
