@@ -33,3 +33,18 @@ def test_pairs_are_matched_beyond_their_folders(spark, tmp_path):
     assert len(got) == min(len(a), len(b)) and sorted(got) == sorted(greedy)
     none = spark.createDataFrame([], "path string")
     assert matching.greedy_pairs(none, none).count() == matching.greedy_pairs(none, spark.createDataFrame([("x",)], "path string")).count() == 0
+
+
+def test_candidates_fall_back_and_are_used_once(spark, tmp_path):
+    a, b = _sides(spark, tmp_path, PATHS)
+    suffix = lambda p: ".ome.tif" if p.endswith(".ome.tif") else _name(p)
+    folder = lambda p: p.replace("\\", "/").rpartition("/")[0]
+    left, want = list(b), []
+    for x in a:
+        same = [y for y in left if suffix(y) == suffix(x)]
+        same = [y for y in same if folder(y) == folder(x)] or same or [y for y in left if folder(y) == folder(x)] or [y for y in left if _share(x, y) > 0]
+        if same:
+            want.append((x, max(same, key=lambda y: _share(x, y))))
+            left.remove(want[-1][1])
+    got = [r[:] for r in files.path_best_candidate(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len({y for _, y in got}) == len(got) == min(len(a), len(b))

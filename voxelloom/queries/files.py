@@ -60,7 +60,7 @@ def path_similarity(spark, d):
 
 def path_best_candidate(spark, d):
     a, b = _sides(spark, d)
-    return matching.best_candidates(a, b, "*.ome.tif", "*.ome.tif")
+    return matching.greedy_candidates(a, b, "*.ome.tif", "*.ome.tif")
 
 
 def pair_mutual_best(spark, d):
