@@ -62,9 +62,23 @@ class Model:
     def vectors(self, values: np.ndarray) -> np.ndarray:
         return _vectors(values, self.features, self.means, self.scales)
 
+    def assigned(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cluster, distance from its centroid) of each record. Where values are missing, cells and centroids are
+        compared in the known features only, and the squared distance is raised in proportion to all features."""
+        x, known = self.vectors(values), np.isfinite(values)
+        basis = np.stack([hashed_feature(f) for f in self.features])
+        cluster, distance = np.zeros(len(x), dtype=int), np.zeros(len(x))
+        for mask in np.unique(known, axis=0):
+            rows = np.flatnonzero((known == mask).all(axis=1))
+            part = np.eye(DIMENSIONS) if mask.all() else np.linalg.pinv(basis) @ (basis * mask[:, None])
+            own = self.cluster_of[_squares(x[rows], self.cells @ part).argmin(axis=1)]
+            cluster[rows] = own
+            distance[rows] = np.sqrt(((x[rows] - self.centroids[own] @ part) ** 2).sum(axis=1) * len(mask) / max(1, mask.sum()))
+        return cluster, distance
+
 
 def _vectors(values: np.ndarray, features: list[str], means: np.ndarray, scales: np.ndarray) -> np.ndarray:
-    """A missing value adds nothing, as the mean does."""
+    """A missing value adds nothing."""
     basis = np.stack([hashed_feature(f) for f in features])
     return np.nan_to_num((values - means) / scales, nan=0.0, posinf=0.0, neginf=0.0) @ basis
 
@@ -305,7 +319,7 @@ def fit(records: DataFrame, identity: str, features: dict[str, Column], *, cells
 def assign(data: DataFrame, model: Model | None) -> DataFrame:
     """(id, cluster, distance) of the records that fit() returned: distance from the cluster's centroid.
 
-    A missing value counts as the mean. A record without any value is in no cluster: both are null.
+    A record with missing values is placed by those it has. One without any is in no cluster: both are null.
     """
     features = [c for c in data.columns if c != "id"]
     schema = T.StructType([data.schema["id"], T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.DoubleType())])
@@ -317,10 +331,9 @@ def assign(data: DataFrame, model: Model | None) -> DataFrame:
             parts = [np.column_stack([batch.column(k + 1).to_numpy(zero_copy_only=False).astype(float) for k in range(len(features))])[at : at + CHUNK] for at in range(0, batch.num_rows, CHUNK)]
             cluster, distance, known = [], [], []
             for values in parts:
-                x = model.vectors(values)
-                own = model.cluster_of[_squares(x, model.cells).argmin(axis=1)]
+                own, far = model.assigned(values)
                 cluster.append(own)
-                distance.append(np.sqrt(((x - model.centroids[own]) ** 2).sum(axis=1)))
+                distance.append(far)
                 known.append(np.isfinite(values).any(axis=1))
             if parts:
                 gone = ~np.concatenate(known)
