@@ -10,12 +10,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelloom.llm import clusters
+from voxelloom.llm import clusters, repetition
 from voxelloom.llm.hooking import link_groups
 from voxelloom.llm.mixing import mix
 from voxelloom.llm.packing import evolve, pack_documents
 from voxelloom.llm.percentiles import from_ordered_bits, histogram_percentiles, merge_histograms, ordered_bits, radix_histogram, select_ranks
-from voxelloom.llm.repetition import adaptive_thresholds, merge_sketches, repeated_words, repetition_shares, repetitive, share_sketches
+from voxelloom.llm.repetition import above_level, adaptive_thresholds, merge_sketches, repeated_words, repetition_shares, repetitive, share_sketches
 from voxelloom.llm.tokens import with_token_counts
 from voxelloom.llm.topn import top_n
 
@@ -240,9 +240,9 @@ def test_mixture_of_nothing(spark):
 
 def _brute(text, run=5):
     words, word = [], ""
-    for c in (text or "").lower() + " ":
+    for c in (text or "") + " ":
         if c.isalpha():
-            word += c
+            word += {"İ": "i"}.get(c, c.lower())
         elif word:
             words, word = [*words, word], ""
     seen, mark = set(), [False] * len(words)
@@ -256,7 +256,7 @@ def _brute(text, run=5):
 
 def test_repeated_words_against_brute_force():
     rng = random.Random(9)
-    texts = [None, "", " ", "a", "a b c d e", "a a a a a a", "A b C d E. a B c D e!", "x1y2z " * 9, "é_É é́ " * 7] + [" ".join(rng.choice("abcdXY") for _ in range(rng.randrange(60))) for _ in range(200)] + [" ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(4000))]
+    texts = [None, "", " ", "a", "a b c d e", "a a a a a a", "A b C d E. a B c D e!", "x1y2z " * 9, "é_É é́ " * 7, "Ã¼ a²b ½ Ⅷ " * 8, "İi Iı ß " * 9] + [" ".join(rng.choice("abcdXY") for _ in range(rng.randrange(60))) for _ in range(200)] + [" ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(4000))]
     assert [repeated_words(t) for t in texts] == [_brute(t) for t in texts]
 
 
@@ -284,6 +284,25 @@ def test_adaptive_thresholds(spark):
     assert {r["threshold"] for r in adaptive_thresholds(merged, ["source"], 0.99, 0.1, 0.4).collect()} == {0.1, 0.4}
 
 
+def test_sketches_decide_what_is_above_a_level(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(k, rng.choice(["en", "En ", "de", None]), rng.choice(["a", "a", None]), rng.randrange(1, 300)) for k in range(6000)]
+    rows = [(k, g, s, n, rng.choice([n // 3, n // 3 + 1, rng.randrange(n + 1)])) for k, g, s, n in rows] + [(9_000, "all", "x", 9, 9), (9_001, "none", "x", 9, 3)]
+    df = spark.createDataFrame(rows, "lower int, lang string, source string, words int, repeated int").withColumn("share", F.col("repeated") / F.col("words"))
+    df = df.unionByName(df.limit(1).withColumns({"lower": F.lit(-1), "share": F.lit(None).cast("double")}))
+    exact = F.expr("3 * repeated > words")
+    want = {k for k, _, _, n, r in rows if 3 * r > n}
+    found = above_level(df, "lang", "source", 1 / 3, exact)
+    assert {r["lower"] for r in found.collect()} == want and found.columns[-2:] == ["lower_", "upper"]
+    # By the thresholds alone most are decided, and all of them rightly.
+    sure = {r["lower"] for r in above_level(df, "lang", "source", 1 / 3, F.lit(False)).collect()}
+    maybe = {r["lower"] for r in above_level(df, "lang", "source", 1 / 3, F.lit(True)).collect()}
+    assert sure <= want <= maybe and 0 < len(maybe - sure) < 0.2 * len(rows) and len(sure) > 0.8 * len(want)
+    assert above_level(df.where("false"), "lang", "source", 1 / 3, exact).count() == 0
+    monkeypatch.setattr(repetition, "rank_bands", lambda s, by, level, error: s.select(*by, F.lit(0.9).alias("lower"), F.lit(0.9).alias("upper")))
+    assert {r["lower"] for r in above_level(df, "lang", "source", 1 / 3, exact).collect()} != want
+
+
 def test_many_ranks_of_one_group_with_one_value(spark):
     df = spark.range(3000).select(F.lit("g").alias("rank_"), F.when(F.col("id") < 2000, 0.0).otherwise(F.col("id").cast("double")).alias("value"))
     targets = spark.range(1, 3002).select(F.lit("g").alias("rank_"), F.col("id").alias("rank"))

@@ -10,7 +10,7 @@ from voxelloom.llm.hooking import link_groups
 from voxelloom.llm.mixing import mix
 from voxelloom.llm.packing import pack_documents
 from voxelloom.llm.percentiles import DIGIT, histogram_percentiles, merge_histograms, ordered_bits, radix_histogram, select_ranks
-from voxelloom.llm.repetition import repetition_shares, repetitive
+from voxelloom.llm.repetition import above_level, adaptive_thresholds, rank_error, repetition_shares, repetitive, share_sketches
 from voxelloom.llm.tokens import with_token_counts
 from voxelloom.llm.topn import top_n
 from voxelloom.operators.current import SLICE, current_rows, is_number, stack_key
@@ -220,10 +220,22 @@ def p8_adaptive(spark: SparkSession, d: str) -> DataFrame:
     return repetitive(shares, "lang", "source").select("doc_id", "share", "threshold")
 
 
+def p8_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """The threshold of each language and source: whether its rank among the group's shares is within the sketch's error."""
+    shares = repetition_shares(_table(spark, d, "documents"), "text", ["doc_id", "lang", "source"])
+    scratch = Scratch(spark, "p8")
+    by = {"language": F.lower(F.trim(F.coalesce("lang", F.lit("")))), "source_name": F.coalesce("source", F.lit(""))}
+    keyed = scratch.save(shares.select("share", *(c.alias(k) for k, c in by.items())), "shares")
+    limits = scratch.save(adaptive_thresholds(share_sketches(keyed, list(by)), list(by), 0.99, 0.0, 1.0), "limits")
+    counted = keyed.join(limits, list(by)).groupBy(*by).agg(F.count("*").alias("documents"), F.avg((F.col("share") < F.col("threshold")).cast("double")).alias("below"), F.avg((F.col("share") <= F.col("threshold")).cast("double")).alias("upto"))
+    within = (F.col("below") <= 0.99 + rank_error()) & (F.col("upto") >= 0.99 - rank_error())
+    return counted.select(*by, "documents", within.alias("within"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """The thresholds adapt but never go beyond a third, so all above a third come out; those that don't go out again."""
+    """Mails above a third: by the thresholds that their group's sketch has around it, and in between by exact counts."""
     shares = repetition_shares(_table(spark, d, "documents"), "text", ["doc_id", "lang", "source"])
-    return repetitive(shares, "lang", "source", most=1 / 3).where("3 * repeated > words").select("doc_id")
+    return above_level(shares, "lang", "source", 1 / 3, F.expr("3 * repeated > words")).select("doc_id")
 
 
 QUERIES = {
@@ -246,4 +258,5 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_shares": p8_shares,
     "p8_adaptive": p8_adaptive,
+    "p8_thresholds": p8_thresholds,
 }

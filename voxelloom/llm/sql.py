@@ -70,5 +70,13 @@ SQL = {
     "p4_found": f"WITH {_RANKED} SELECT pair_id FROM ranked WHERE place <= 3",
     "p8_found": f"WITH {_REPEATED} SELECT doc_id FROM counts WHERE 3 * repeated > words",
     "p8_shares": f"WITH {_REPEATED} SELECT doc_id, coalesce(words, 0)::BIGINT AS words, coalesce(repeated, 0)::BIGINT AS repeated FROM documents LEFT JOIN counts USING (doc_id)",
+    "p8_adaptive": f"""
+        WITH {_REPEATED},
+        shares AS (
+          SELECT doc_id, lower(trim(coalesce(lang, ''))) AS language, coalesce(source, '') AS source_name, coalesce(repeated::DOUBLE / words, 0) AS share
+          FROM documents LEFT JOIN counts USING (doc_id)),
+        limits AS (SELECT language, source_name, least(greatest(quantile_disc(share, 0.99), 0.05), 1.0) AS threshold FROM shares GROUP BY ALL)
+        SELECT doc_id, share, threshold FROM shares JOIN limits USING (language, source_name) WHERE share > threshold""",
+    "p8_thresholds": "SELECT lower(trim(coalesce(lang, ''))) AS language, coalesce(source, '') AS source_name, count(*) AS documents, true AS within FROM documents GROUP BY ALL",
     "p4_top3": f"WITH {_RANKED} SELECT pair_id, image_id, scene, t, z, stack1_name, region1_label, region2_label, overlap_score, place::INTEGER AS place FROM ranked WHERE place <= 3",
 }
