@@ -229,6 +229,35 @@ def test_mixture_reaches_targets_and_caps(spark):
     assert abs(sum(r["reached_share"] for r in rep.values()) - 1) < 1e-9
 
 
+def test_mixture_hits_its_sizes_with_very_long_documents(spark):
+    rng = random.Random(12)
+    docs = [(s, n) for s in ("a", "b", "c", "d") for n in (rng.randrange(50, 400) for _ in range(300))]
+    docs += [("a", 30_000), ("b", 30_000), ("b", 29_000), ("c", 200_000), *(("only", n) for n in (9_000, 10_000, 11_000, 12_000))]
+    df = spark.createDataFrame([(k, *d) for k, d in enumerate(docs)], "doc_id long, source string, size long")
+    targets = spark.createDataFrame([("a", 0.12, 1), ("b", 0.2, 3), ("c", 0.11, 2), ("d", 0.3, 2), ("only", 0.05, 1), ("none", 0.1, 1)], "source string, target_share double, max_repeats int")
+    for seed in (1, 2, 3):
+        copies, report = mix(df, targets, seed=seed, part_rows=70)
+        rep = {r["source"]: r for r in report.collect()}
+        assert {s for s, r in rep.items() if r["short"]} == {"d", "none"}
+        assert rep["d"]["copies"] == 2 * rep["d"]["documents"] and rep["d"]["reached"] == 2 * rep["d"]["available"]
+        for s, r in rep.items():
+            most = 6_000 if s == "only" else 0.005 * r["wanted"]
+            assert r["short"] or abs(r["reached"] - r["wanted"]) <= most, r
+        assert {(r["source"], r["copies"]) for r in copies.where("source = 'c' and size = 200000").collect()} == set()
+    scaled = {r["source"]: r for r in mix(df, targets, rescale=True)[1].collect()}
+    assert {s for s, r in scaled.items() if r["short"]} == {"none"}
+    for s in "abd":
+        assert abs(scaled[s]["reached"] - scaled[s]["wanted"]) <= 0.01 * scaled[s]["wanted"]
+    assert scaled["d"]["reached"] >= 0.99 * 2 * scaled["d"]["available"]
+
+
+def test_mixture_of_documents_without_size(spark):
+    docs = spark.createDataFrame([(1, "a", 0), (2, "a", None), (3, "b", 5)], "doc_id long, source string, size long")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1), ("c", 0.0, 1)], "source string, target_share double, max_repeats int")
+    rep = {r["source"]: (r["short"], r["copies"], r["reached"]) for r in mix(docs, targets)[1].collect()}
+    assert rep["a"] == (True, 4, 0) and not rep["b"][0] and rep["c"] == (True, 0, 0)
+
+
 def test_mixture_of_nothing(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", None, None), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
     copies, report = mix(spark.createDataFrame([], "doc_id long, source string, size long"), targets)

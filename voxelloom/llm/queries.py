@@ -191,19 +191,39 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 # Problem 7
 
 
+def _mixed(spark: SparkSession, d: str, **options: bool) -> tuple[DataFrame, DataFrame]:
+    return mix(_sizes(spark, d, "source"), _table(spark, d, "mix_targets"), **options)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    _, report = mix(_sizes(spark, d, "source"), _table(spark, d, "mix_targets"))
-    return report.where("short").select("source")
+    """Sources that give too little though the sampler has used each of their documents as often as it may be."""
+    return _mixed(spark, d)[1].where("short").select("source")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """What each source has, should give and gives."""
-    return mix(_sizes(spark, d, "source"), _table(spark, d, "mix_targets"))[1]
+    return _mixed(spark, d)[1]
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The mails that are used and how often."""
-    return mix(_sizes(spark, d, "source"), _table(spark, d, "mix_targets"))[0]
+    return _mixed(spark, d)[0]
+
+
+def p7_rescaled(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the largest mixture that has the target shares."""
+    return _mixed(spark, d, rescale=True)[1]
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each source whether the mixture keeps its cap, adds up to the report, and gives what is wanted within 5 %, unless short."""
+    copies, report = _mixed(spark, d)
+    sums = copies.groupBy("source").agg(F.max("copies").alias("most"), F.sum(F.col("copies") * F.col("size")).alias("tokens"), F.countDistinct("doc_id").alias("used"))
+    rows = report.join(sums, "source", "left")
+    capped = F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)) & (F.col("used_documents") <= F.col("documents"))
+    agree = (F.coalesce("tokens", F.lit(0)) == F.col("reached")) & (F.coalesce("used", F.lit(0)) == F.col("used_documents"))
+    near = F.col("short") | (F.abs(F.col("reached") - F.col("wanted")) <= 0.05 * F.col("wanted"))
+    return rows.select("source", "target_share", F.col("max_repeats").cast("int").alias("max_repeats"), "documents", capped.alias("capped"), agree.alias("agree"), near.alias("near"))
 
 
 # Problem 8
@@ -255,6 +275,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_mixture": p7_mixture,
+    "p7_rescaled": p7_rescaled,
+    "p7_checks": p7_checks,
     "p8_found": p8_found,
     "p8_shares": p8_shares,
     "p8_adaptive": p8_adaptive,
