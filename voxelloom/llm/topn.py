@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 
 from voxelloom.runtime import Scratch, fresh, small
 
+#: A group is heavy if it has more than one of so many parts of all rows, or more than so many rows.
+HEAVY_PARTS = 1_000
 HEAVY_ROWS = 200_000
+#: Rows of heavy groups that one task should sort.
+PART_ROWS = 100_000
 
 
 def _first_of_runs(n: int, key: str):
@@ -44,13 +48,17 @@ def _first_of_runs(n: int, key: str):
     return run
 
 
-def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, *, heavy_rows: int = HEAVY_ROWS, rank: str | None = None, unique: bool = False, scratch: Scratch | None = None) -> DataFrame:
+def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, *, heavy_rows: int = HEAVY_ROWS, heavy_parts: int = HEAVY_PARTS, part_rows: int = PART_ROWS, rank: str | None = None, unique: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """The rows of df that are among the first n of their group; with `rank`, that column says which.
 
     Rows that tie in all of `order` are told apart by a hash of the whole row (`unique` says that none do and saves the
     hash for all but the heavy groups), so the result depends neither on partitions nor on order of reading; rows equal in every column can't be told apart and
     each counts. Groups with fewer than n rows come whole. Nulls in a key form a group like any value; nulls in the
     order sort as `order` says. n < 1 and empty tables give no rows. No row is left out for the size of its group.
+
+    Which groups are heavy follows from the counts: those with more than one of `heavy_parts` parts of all rows, or more
+    than `heavy_rows` rows; groups of at most n rows never are. Heavy rows are sorted in as many tasks as they fill with
+    `part_rows` rows.
     """
     scratch = scratch or Scratch(df.sparkSession, "topn")
     (salt, place, count, text) = fresh([*df.columns, *([rank] if rank else [])], "tie_salt", "place", "group_rows", "group_text")
@@ -58,23 +66,25 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, *, heavy_
     rows = scratch.save(df, "rows")
     tie = F.lit(0) if unique else F.xxhash64(*hashed)
     counts = rows.groupBy(*keys).agg(F.count("*").alias(count))
-    heavy = scratch.save(counts.where(F.col(count) > heavy_rows).drop(count), "heavy")
+    limit = max(n, min(heavy_rows, rows.count() // heavy_parts))
+    heavy = scratch.save(counts.where(F.col(count) > limit), "heavy")
     w = Window.partitionBy(*keys).orderBy(*order, F.col(salt))
 
     def first(x: DataFrame) -> DataFrame:
         out = x.withColumn(salt, tie).withColumn(place, F.row_number().over(w)).where(F.col(place) <= n).drop(salt)
         return out.withColumnRenamed(place, rank) if rank else out.drop(place)
 
-    if not heavy.limit(1).count():
+    hot_rows = heavy.agg(F.sum(count)).first()[0]
+    if not hot_rows:
         return first(rows)
-    few = small(heavy)
+    few = small(heavy.drop(count))
 
     def same(a: DataFrame, b: DataFrame) -> list[Column]:
         return [a[k].eqNullSafe(b[k]) for k in keys]
 
     light = rows.join(few, same(rows, few), "left_anti")
     hot = rows.join(few, same(rows, few), "left_semi").withColumn(text, F.to_json(F.struct(*keys))).withColumn(salt, F.xxhash64(*hashed))
-    parts = df.sparkSession.sparkContext.defaultParallelism * 2
+    parts = max(2, -(-hot_rows // part_rows))
     spread = hot.repartitionByRange(parts, F.col(text), *order, F.col(salt)).sortWithinPartitions(F.col(text), *order, F.col(salt))
     kept = spread.mapInArrow(_first_of_runs(n, text), spread.schema).drop(text, salt)
     return first(light).unionByName(first(kept))
