@@ -165,13 +165,13 @@ def test_groups_of_no_links(spark):
 # Top N
 
 
-@pytest.mark.parametrize("heavy", [20, 10**9])
-def test_top_n_against_sorting(spark, heavy):
+@pytest.mark.parametrize(("heavy", "parts"), [(20, 1), (10**9, 1), (10**9, 3), (10**9, 1_000)])
+def test_top_n_against_sorting(spark, heavy, parts):
     rng = random.Random(5)
     rows = [(g, rng.choice([None, float("nan"), 0.1, 0.5, 0.9]), rng.randrange(5), k) for k in range(600) for g in [rng.choice(["hot"] * 6 + ["a", "b", None, "c"])]]
     df = spark.createDataFrame(rows, "g string, score double, salt int, place long")
     order = [F.col("score").desc_nulls_last(), F.col("salt"), F.col("place")]
-    got = top_n(df, ["g"], order, 3, heavy_rows=heavy, rank="tie_salt")
+    got = top_n(df, ["g"], order, 3, heavy_rows=heavy, heavy_parts=parts, part_rows=90, rank="tie_salt")
     want = {}
     for g in {r[0] for r in rows}:
         s = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, not (r[1] is not None and math.isnan(r[1])), 0.0 if r[1] is None or math.isnan(r[1]) else -r[1], r[2], r[3]))
@@ -180,6 +180,14 @@ def test_top_n_against_sorting(spark, heavy):
     assert got.columns == ["g", "score", "salt", "place", "tie_salt"]
 
 
+def test_heavy_groups_are_sorted_by_range(spark):
+    df = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("g"), F.col("id").alias("s"))
+    out = top_n(df, ["g"], [F.col("s").desc()], 2, unique=True)
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "rangepartitioning" in plan
+    assert sorted(r["s"] for r in out.where("g = -1").collect()) == [39_996, 39_999] and out.count() == 26_668
+
+
 def test_top_n_ties_repeats_and_nothing(spark):
     df = spark.createDataFrame([("a", 1.0)] * 5 + [("b", 1.0)], "g string, s double")
     assert sorted(r["g"] for r in top_n(df, ["g"], [F.col("s")], 2, heavy_rows=2).collect()) == ["a", "a", "b"]

@@ -222,15 +222,20 @@ def pack_documents(sizes: DataFrame, capacity: int, *, scratch: Scratch | None =
 
     A document longer than the capacity, and no other, is split: into full containers and a rest, which is packed like
     a document of its own. Null or negative sizes count as 0. Rows that repeat a doc_id are documents of their own.
+    `pieces` is counted in the finished packing; one that lost or doubled a part of a document is an error.
     """
     scratch = scratch or Scratch(sizes.sparkSession, "packing")
     size = F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("bigint")
-    rows = sizes.select("doc_id", size.alias("whole")).withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("whole") / capacity)).cast("int"))
-    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(1), F.col("pieces"))))
+    rows = sizes.select("doc_id", size.alias("whole"), F.monotonically_increasing_id().alias("row"))
+    last = F.greatest(F.lit(1), F.ceil(F.col("whole") / capacity)).cast("int")
+    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(1), last)))
     pieces = pieces.withColumn("size", F.least(F.lit(capacity), F.col("whole") - (F.col("piece") - 1).cast("bigint") * capacity))
     # Numbered once and written, so that the numbers stay what they are.
-    pieces = scratch.save(pieces.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "piece", "pieces", "size"), "pieces")
-    full = pieces.where(F.col("size") == capacity).select("doc_id", "piece", "pieces", "size", F.concat(F.lit("f-"), "uid").alias("container"))
+    pieces = scratch.save(pieces.select(F.monotonically_increasing_id().alias("uid"), "row", "doc_id", "piece", "size", "whole"), "pieces")
+    full = pieces.where(F.col("size") == capacity).select("row", "doc_id", "piece", "size", "whole", F.concat(F.lit("f-"), "uid").alias("container"))
     part = pieces.where(F.col("size") < capacity)
     containers = pack(part.select("uid", "size"), capacity, scratch=scratch, **options)
-    return full.unionByName(part.join(containers, "uid").select(*full.columns))
+    placed = scratch.save(full.unionByName(part.join(containers, "uid").select(*full.columns)), "placed")
+    whole = F.sum("size") == F.first("whole")
+    counted = placed.groupBy("row").agg(F.when(whole, F.count("*")).otherwise(F.raise_error(F.lit("a document isn't packed whole"))).cast("int").alias("pieces"))
+    return placed.join(counted, "row").select("doc_id", "piece", "pieces", "size", "container")

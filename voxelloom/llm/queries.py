@@ -137,6 +137,14 @@ def p2_merged(spark: SparkSession, d: str) -> DataFrame:
     return histogram_percentiles(merge_histograms([by_slice], keys), keys, QUANTILES, MERGED_BITS)
 
 
+def p2_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the exact percentiles lie within the bounds of the merged histograms."""
+    exact = p2_exact(spark, d)
+    merged = p2_merged(spark, d).select(*GROUP, "metric", F.col("quantile").alias("quantile_p"), "lower", "upper")
+    within = F.col("value").between(F.col("lower"), F.col("upper"))
+    return exact.join(merged, [*GROUP, "metric", "quantile_p"], "left").select(*GROUP, "metric", "quantile_p", "n", F.coalesce(within, F.lit(False)).alias("within"))
+
+
 # Problem 3
 
 
@@ -191,6 +199,7 @@ def p6_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Mails that the finished packing has in several pieces."""
     return p6_packing(spark, d).where("pieces > 1").select("doc_id").distinct()
 
 
@@ -199,6 +208,18 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return p6_packing(spark, d).groupBy("container").agg(F.sum("size").alias("tokens"), F.count("*").alias("items"))
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each mail whether all its tokens are packed, split only beyond a container, in containers none of which is too full."""
+    scratch = Scratch(spark, "p6")
+    sizes = scratch.save(_sizes(spark, d), "sizes")
+    packed = scratch.save(pack_documents(sizes, CONTAINER_TOKENS, scratch=scratch), "packed")
+    fills = packed.groupBy("container").agg((F.sum("size") <= CONTAINER_TOKENS).alias("fits"))
+    per = packed.join(fills, "container").groupBy("doc_id").agg(F.sum("size").alias("packed"), F.count("*").alias("n"), F.countDistinct("piece").alias("different"), F.bool_and("fits").alias("fits"))
+    fewest = F.greatest(F.lit(1), F.ceil(F.col("size") / CONTAINER_TOKENS))
+    whole = (F.col("packed") == F.col("size")) & (F.col("n") == fewest) & (F.col("n") == F.col("different"))
+    return sizes.join(per, "doc_id", "left").select("doc_id", F.coalesce(whole, F.lit(False)).alias("whole"), F.coalesce("fits", F.lit(False)).alias("fits"))
+
+
 # Problem 7
 
 
@@ -277,6 +298,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_exact": p2_exact,
     "p2_merged": p2_merged,
+    "p2_bounds": p2_bounds,
     "p3_found": p3_found,
     "p3_group_sizes": p3_group_sizes,
     "p4_found": p4_found,
@@ -284,6 +306,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_packing": p6_packing,
     "p6_fill": p6_fill,
+    "p6_checks": p6_checks,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_mixture": p7_mixture,
