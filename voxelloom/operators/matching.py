@@ -59,7 +59,7 @@ def mutual_best(scores: DataFrame, *, scratch: Scratch | None = None) -> DataFra
     """(path_a, path_b, score): each path once, the best pairs first, ties by path. In rounds: pairs that are the best of
     both their sides are taken together, which is what taking one after the other comes to."""
     scratch = scratch or Scratch(scores.sparkSession, "matching")
-    left = scratch.save(scores.where("score > 0"), "left0")
+    left = scratch.save(scores.where("score is not null"), "left0")
     out: DataFrame | None = None
     order = [F.col("score").desc(), "path_a", "path_b"]
     step = 0
@@ -171,7 +171,7 @@ def greedy_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return sides.where("path is not null").groupBy().applyInPandas(take, "path_a string, path_b string, score double")
 
 
-def greedy_candidates(a: DataFrame, b: DataFrame, pattern_a: str, pattern_b: str) -> DataFrame:
+def best_candidates(a: DataFrame, b: DataFrame, pattern_a: str, pattern_b: str) -> DataFrame:
     """(path_a, path_b): each a in order of path takes the best b that is left, and each b goes to one a. The best is one
     of the same suffix, those of the same folder first; without any, one of the same folder; without any, one of any
     similarity above 0. Of several the most similar, then the first by path. In one task, as greedy_pairs()."""
@@ -202,25 +202,14 @@ def greedy_candidates(a: DataFrame, b: DataFrame, pattern_a: str, pattern_b: str
     return both.groupBy().applyInPandas(take, "path_a string, path_b string")
 
 
-def best_candidates(a: DataFrame, b: DataFrame, pattern_a: str, pattern_b: str) -> DataFrame:
-    """(path_a, path_b): for each a the best b by same suffix, then same folder, then similarity above 0, then path."""
-    left = a.select(F.col("path").alias("path_a"), suffix_of(basename(F.col("path")), pattern_a).alias("suffix_a"))
-    right = b.select(F.col("path").alias("path_b"), suffix_of(basename(F.col("path")), pattern_b).alias("suffix_b"))
-    pairs = left.join(right, F.col("suffix_a") == F.col("suffix_b"))
-    near = (parent(F.col("path_a")) == parent(F.col("path_b"))).cast("int")
-    scored = pairs.withColumn("near", near).withColumn("score", path_similarity(F.col("path_a"), F.col("path_b"))).where("near = 1 or score > 0")
-    w = Window.partitionBy("path_a").orderBy(F.col("near").desc(), F.col("score").desc(), "path_b")
-    return scored.withColumn("place", F.row_number().over(w)).where("place = 1").select("path_a", "path_b")
-
-
 def drop_empty_planes(labels: DataFrame, key: list[str]) -> DataFrame:
     """Planes that have a label."""
     return labels.groupBy(*key).agg(F.sum("label").alias("total")).where("total > 0").drop("total")
 
 
 def sample_planes(planes: DataFrame, pair: list[str], n: int, seed: int) -> DataFrame:
-    """n planes of each pair (all, if it has fewer), the same for the same seed."""
-    w = Window.partitionBy(*pair).orderBy(F.xxhash64(F.lit(seed), *planes.columns), *planes.columns)
+    """n planes of each pair (all, if it has fewer), the same for the same seed: those whose text has the least MD5 sum."""
+    w = Window.partitionBy(*pair).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in planes.columns))), *planes.columns)
     return planes.withColumn("draw", F.row_number().over(w)).where(F.col("draw") <= n).drop("draw")
 
 

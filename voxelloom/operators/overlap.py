@@ -89,6 +89,20 @@ def consolidate(pairs: DataFrame, key: list[str], side: str, other: str, method:
     return by.agg(F.bool_or("above_threshold").alias(f"{other} +"), F.max("score").alias(f"{method} {other} +"))
 
 
+def coincidence_features(a: DataFrame, b: DataFrame, key: list[str], axes: list[str], names: tuple[str, str], *, method: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """What consolidate() gives of all pairs of labels, for the labels of both channels, without making the pairs that share
+    nothing: a label that touches none has (false, 0.0), or nothing in a slice where the other channel has no labels."""
+    pairs = outline_pairs(a, b, key, axes, method=method, threshold=threshold, every=False)
+    out = []
+    for own, other, side, name in ((a, b, "a", names[1]), (b, a, "b", names[0])):
+        labels, there = own.where(F.col("label") > 0).select(*key, "label").distinct(), other.where(F.col("label") > 0)
+        labels = labels.join(there.select(*key).distinct(), key, "left_semi") if key else labels.where(F.lit(bool(there.limit(1).count())))
+        touched = labels.join(consolidate(pairs, key, side, name, method), [*key, "label"], "left")
+        none = {f"{name} +": F.lit(0.0 >= threshold), f"{method} {name} +": F.lit(0.0)}
+        out.append(touched.withColumns({c: F.coalesce(F.col(c), x) for c, x in none.items()}))
+    return out[0], out[1]
+
+
 def join_features(regions: DataFrame, features: list[DataFrame], on: list[str], present: DataFrame | None = None) -> DataFrame:
     """Regions with the features of the same label; only labels of `present`, if given."""
     out = regions

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.operators.components import dilate_to_area, label_components, remove_labels, unique_labels
-from voxelloom.operators.overlap import consolidate, join_features, outline_pairs
+from voxelloom.operators.overlap import coincidence_features, join_features
 from voxelloom.operators.predicates import Range, filter_regions
 from voxelloom.operators.regions import region_properties
 from voxelloom.operators.threshold import exclude, include, union
@@ -104,7 +104,7 @@ def coincidence(labels: dict[str, DataFrame], regions: dict[str, DataFrame], key
     features: dict[str, list[DataFrame]] = {n: [] for n in names}
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            pairs = outline_pairs(labels[a], labels[b], key, axes, method=method, threshold=threshold, every=True)
-            features[a].append(consolidate(pairs, key, "a", b, method))
-            features[b].append(consolidate(pairs, key, "b", a, method))
+            of_a, of_b = coincidence_features(labels[a], labels[b], key, axes, (a, b), method=method, threshold=threshold)
+            features[a].append(of_a)
+            features[b].append(of_b)
     return {n: join_features(regions[n], features[n], [*key, "label"], labels[n]) for n in names}

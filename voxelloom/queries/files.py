@@ -60,7 +60,7 @@ def path_similarity(spark, d):
 
 def path_best_candidate(spark, d):
     a, b = _sides(spark, d)
-    return matching.greedy_candidates(a, b, "*.ome.tif", "*.ome.tif")
+    return matching.best_candidates(a, b, "*.ome.tif", "*.ome.tif")
 
 
 def pair_mutual_best(spark, d):
@@ -96,6 +96,15 @@ SQL = {
           SELECT a.path AS path_a, b.path AS path_b, (a.folder = b.folder)::INT AS near, {_SCORE} AS score FROM a JOIN b
           ON CASE WHEN ends_with(a.name, '.ome.tif') THEN '.ome.tif' ELSE a.name END = CASE WHEN ends_with(b.name, '.ome.tif') THEN '.ome.tif' ELSE b.name END)
         SELECT path_a, path_b FROM c WHERE near = 1 OR score > 0 QUALIFY row_number() OVER (PARTITION BY path_a ORDER BY near DESC, score DESC, path_b) = 1""",
+    "sample_planes": "SELECT image_id, scene, t, z FROM (SELECT DISTINCT image_id, scene, t, z FROM regions) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5(concat_ws('|', '17', image_id, scene, t, z)), image_id, scene, t, z) <= 2",
+    "pair_mutual_best": f"""WITH RECURSIVE {_SIDES},
+        scored AS MATERIALIZED (SELECT path_a, path_b, score, row_number() OVER (ORDER BY score DESC, path_a, path_b) AS k FROM (SELECT a.path AS path_a, b.path AS path_b, {_SCORE} AS score FROM a, b)),
+        taken AS (
+          SELECT 0::BIGINT AS k, []::VARCHAR[] AS used_a, []::VARCHAR[] AS used_b
+          UNION ALL
+          SELECT n.k, list_append(used_a, path_a), list_append(used_b, path_b)
+          FROM (SELECT used_a, used_b, min(s.k) AS k FROM taken t, scored s WHERE NOT list_contains(t.used_a, s.path_a) AND NOT list_contains(t.used_b, s.path_b) GROUP BY ALL) n JOIN scored s ON s.k = n.k)
+        SELECT path_a, path_b, round(score, 6) AS score FROM scored JOIN taken USING (k)""",
     "train_val_split": f"WITH {_PATHS} SELECT path, CASE WHEN row_number() OVER (ORDER BY path) <= floor(0.8::DOUBLE * count(*) OVER ()) THEN 'train' ELSE 'val' END AS part FROM n",
     "drop_empty_planes": "SELECT DISTINCT image_id, scene, t, z FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY ingested_at DESC) AS rn FROM regions) WHERE rn = 1 AND area > 1000 AND label > 0",
 }

@@ -282,7 +282,13 @@ def resize_bilinear(spark, d):
     return rounded(filters.resize(grid(spark, d), K, SHAPE, 48, order=1), "v")
 
 
-@query()
+def _cubic_sql(n: int, m: int) -> str:
+    """Lines of 4 taps each: cubic convolution with a = -0.5, beyond the border the nearest pixel."""
+    near, far = "1.5 * k ** 3 - 2.5 * k ** 2 + 1", "-0.5 * k ** 3 + 2.5 * k ** 2 - 4 * k + 2"
+    return f"(SELECT d, least(greatest(place, 0), {n - 1}) AS s, CASE WHEN k <= 1 THEN {near} WHEN k < 2 THEN {far} ELSE 0 END AS w FROM (SELECT d, floor(src)::INT + o AS place, abs(src - (floor(src) + o)) AS k FROM (SELECT d, (d + 0.5::DOUBLE) * {n} / {m} - 0.5 AS src FROM range({m}) r(d)), range(-1, 3) t(o)))"
+
+
+@query(f"WITH {GRID}, {_taps('fine', 0.5)}, {_smooth_sql('grid', 'soft', 'fine')}, taps AS {_cubic_sql(32, 16)} SELECT c, z, ty.d::INT AS y, tx.d::INT AS x, round(sum(v * ty.w * tx.w), 6) AS v FROM soft JOIN taps ty ON ty.s = soft.y JOIN taps tx ON tx.s = soft.x GROUP BY ALL")
 def resize_cubic(spark, d):
     return rounded(filters.resize_cubic(grid(spark, d), K, SHAPE, width=16), "v")
 
@@ -507,7 +513,15 @@ def region_props_3d(spark, d):
     return rounded(out, "volume", "centroid_0", "centroid_1", "centroid_2")
 
 
-@query()
+_P2 = "((a - q) * (a - q) + (b - q) * (b - q) + (c3 - q) * (c3 - q) + 2 * (d * d + e * e + f * f)) / 6"
+
+
+@query(f"""WITH {GRID}, {_VOLUMES},
+    m AS (SELECT c, label, count(*) AS n, var_samp(z) AS a, var_samp(y) AS b, var_samp(x) AS c3, covar_samp(z, y) AS d, covar_samp(y, x) AS e, covar_samp(z, x) AS f FROM volumes GROUP BY ALL),
+    q AS (SELECT *, (a + b + c3) / 3 AS q FROM m),
+    p AS (SELECT *, sqrt({_P2}) AS p FROM q),
+    r AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c3 - q) - e * e) - d * (d * (c3 - q) - e * f) + f * (d * e - (b - q) * f)) / (2 * p * p * p)))) / 3 AS phi FROM p)
+    SELECT c, label, round(CASE WHEN n >= 3 THEN sqrt((q + 2 * p * cos(phi + 2 * pi() / 3)) / (q + 2 * p * cos(phi))) END, 6) AS aspect_ratio FROM r""")
 def region_aspect_ratio_3d(spark, d):
     return rounded(regions.region_properties(_volumes(spark, d), ["c"], ["z", *P], ["aspect_ratio"]), "aspect_ratio")
 
@@ -636,8 +650,7 @@ def bbox_union(spark, d):
 @query(f"WITH RECURSIVE {LABELS}, {_pairs_sql(_IOU, 0.2)} SELECT z, label_a AS label, bool_or(above_threshold) AS \"O +\", round(max(score), 6) AS \"iou O +\" FROM pairs GROUP BY ALL")
 def coincidence_consolidated(spark, d):
     a, b = _channels(spark, d)
-    pairs = overlap.outline_pairs(a, b, ["z"], P, threshold=0.2)
-    return rounded(overlap.consolidate(pairs, ["z"], "a", "O", "iou"), "iou O +")
+    return rounded(overlap.coincidence_features(a, b, ["z"], P, ("F", "O"), method="iou", threshold=0.2)[0], "iou O +")
 
 
 _FLAGSHIP = f"WITH RECURSIVE {LABELS}, big AS (SELECT c, z, label, count(*) AS area, avg(y) AS cy, avg(x) AS cx FROM labels GROUP BY ALL HAVING count(*) BETWEEN 2 AND 5000), kept AS (SELECT l.* FROM labels l SEMI JOIN big USING (c, z, label)), {_pairs_sql(_DICE, 0.1).replace('FROM labels', 'FROM kept')}, f AS (SELECT z, label_a AS label, bool_or(above_threshold) AS plus, max(score) AS best FROM pairs GROUP BY ALL) SELECT z, label, area, round(cy, 6) AS centroid_0, round(cx, 6) AS centroid_1, plus AS o_positive, round(best, 6) AS dice_o FROM big LEFT JOIN f USING (z, label) WHERE c = 'F'"
@@ -657,7 +670,7 @@ def coincidence_features_join(spark, d):
 @query(f"WITH RECURSIVE {LABELS}, {_pairs_sql(_IOU, 0.2)}, f AS (SELECT z, label_a AS label, bool_or(above_threshold) AS plus FROM pairs GROUP BY ALL) SELECT z, y, x, (CASE WHEN plus THEN 1 ELSE 2 END)::INT AS label FROM fl JOIN f USING (z, label)")
 def coincidence_positive_split(spark, d):
     a, b = _channels(spark, d)
-    features = overlap.consolidate(overlap.outline_pairs(a, b, ["z"], P, threshold=0.2), ["z"], "a", "O", "iou")
+    features, _ = overlap.coincidence_features(a, b, ["z"], P, ("F", "O"), method="iou", threshold=0.2)
     return select.masks_to_labels(overlap.split_by_feature(a, features, ["z", "label"], "O +"), ["z", *P])
 
 
