@@ -42,7 +42,7 @@ def test_candidates_fall_back_and_are_used_once(spark, tmp_path):
     left, want = list(b), []
     for x in a:
         same = [y for y in left if suffix(y) == suffix(x)]
-        same = [y for y in same if folder(y) == folder(x)] or same or [y for y in left if folder(y) == folder(x)] or [y for y in left if _share(x, y) > 0]
+        same = same or [y for y in left if folder(y) == folder(x)] or [y for y in left if _share(x, y) > 0]
         if same:
             want.append((x, max(same, key=lambda y: _share(x, y))))
             left.remove(want[-1][1])

@@ -173,8 +173,8 @@ def greedy_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def best_candidates(a: DataFrame, b: DataFrame, pattern_a: str, pattern_b: str) -> DataFrame:
     """(path_a, path_b): each a in order of path takes the best b that is left, and each b goes to one a. The best is one
-    of the same suffix, those of the same folder first; without any, one of the same folder; without any, one of any
-    similarity above 0. Of several the most similar, then the first by path. In one task, as greedy_pairs()."""
+    of the same suffix; without any, one of the same folder; without any, one of any similarity above 0. Of several the
+    most similar, then the first by path. In one task, as greedy_pairs()."""
 
     def side(df: DataFrame, left: bool, pattern: str) -> DataFrame:
         p = F.col("path")
@@ -187,12 +187,12 @@ def best_candidates(a: DataFrame, b: DataFrame, pattern_a: str, pattern_b: str)
         sets_a, sets_b = _both(paths_a, paths_b)
         taken, out = np.zeros(len(paths_b), dtype=bool), []
         suffixes, folders = list(y["suffix"]), list(y["folder"])
-        tiers = [_pools(keys, sets_b.own, taken) for keys in (list(zip(suffixes, folders)), suffixes, folders, [None] * len(folders))]
+        tiers = [_pools(keys, sets_b.own, taken) for keys in (suffixes, folders, [None] * len(folders))]
         for k, suffix, folder in zip(range(len(paths_a)), x["suffix"], x["folder"]):
             scores = sets_a.scores(sets_a.own[k], sets_b)
-            for n, (pools, key) in enumerate(zip(tiers, ((suffix, folder), suffix, folder, None))):
+            for n, (pools, key) in enumerate(zip(tiers, (suffix, folder, None))):
                 found = pools[key].best(scores) if key in pools else None
-                if found and (n < 3 or found[0] > 0):
+                if found and (n < 2 or found[0] > 0):
                     out.append((paths_a[k], paths_b[found[1]]))
                     taken[found[1]] = True
                     break
