@@ -21,6 +21,7 @@ def _sides(spark, d):
 
 
 _SIDES = f"{_PATHS}, a AS (SELECT * FROM n WHERE regexp_matches(name, '^[0-9]')), b AS (SELECT * FROM n WHERE NOT regexp_matches(name, '^[0-9]'))"
+_SUFFIX = "CASE WHEN ends_with(name, '.ome.tif') THEN '.ome.tif' ELSE name END"
 _CHARS = "list_distinct(string_split({}, ''))"
 _SCORE = f"len(list_intersect({_CHARS.format('a.path')}, {_CHARS.format('b.path')})) / len(list_distinct(list_concat({_CHARS.format('a.path')}, {_CHARS.format('b.path')})))"
 
@@ -91,11 +92,18 @@ SQL = {
     "path_place_match": f"""WITH {_PATHS}, x AS (SELECT folder, name, max(path) AS path_a FROM n GROUP BY ALL), y AS (SELECT folder, name, max(folder || '/Labels_' || name) AS path_b FROM n GROUP BY ALL)
         SELECT path_a, path_b FROM x JOIN y USING (folder, name)""",
     "pair_zip": f"WITH {_SIDES}, x AS (SELECT path AS path_a, row_number() OVER (ORDER BY path) AS k FROM a), y AS (SELECT path AS path_b, row_number() OVER (ORDER BY path) AS k FROM b) SELECT path_a, path_b FROM x JOIN y USING (k)",
-    "path_similarity": f"WITH {_SIDES} SELECT a.path AS path_a, b.path AS path_b, round({_SCORE}, 6) AS score FROM a JOIN b ON a.folder[1:7] = b.folder[1:7]",
-    "path_best_candidate": f"""WITH {_SIDES}, c AS (
-          SELECT a.path AS path_a, b.path AS path_b, (a.folder = b.folder)::INT AS near, {_SCORE} AS score FROM a JOIN b
-          ON CASE WHEN ends_with(a.name, '.ome.tif') THEN '.ome.tif' ELSE a.name END = CASE WHEN ends_with(b.name, '.ome.tif') THEN '.ome.tif' ELSE b.name END)
-        SELECT path_a, path_b FROM c WHERE near = 1 OR score > 0 QUALIFY row_number() OVER (PARTITION BY path_a ORDER BY near DESC, score DESC, path_b) = 1""",
+    "path_similarity": f"WITH {_SIDES} SELECT a.path AS path_a, b.path AS path_b, round({_SCORE}, 6) AS score FROM a, b",
+    "path_best_candidate": f"""WITH RECURSIVE {_SIDES},
+        x AS (SELECT path, folder, {_SUFFIX} AS suffix, row_number() OVER (ORDER BY path) AS turn FROM a), y AS (SELECT path, folder, {_SUFFIX} AS suffix FROM b),
+        pairs AS (SELECT a.turn, a.path AS path_a, b.path AS path_b, CASE WHEN a.suffix = b.suffix THEN 0 WHEN a.folder = b.folder THEN 1 ELSE 2 END AS tier, {_SCORE} AS score FROM x a, y b),
+        ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY turn ORDER BY tier, score DESC, path_b) AS k FROM pairs WHERE tier < 2 OR score > 0),
+        turns AS (
+          SELECT 0::BIGINT AS turn, NULL::BIGINT AS k, []::VARCHAR[] AS used
+          UNION ALL
+          SELECT n.turn, n.k, CASE WHEN n.k IS NULL THEN used ELSE list_append(used, r.path_b) END
+          FROM (SELECT t.turn + 1 AS turn, t.used, min(r.k) AS k FROM turns t LEFT JOIN ranked r ON r.turn = t.turn + 1 AND NOT list_contains(t.used, r.path_b) WHERE t.turn < (SELECT count(*) FROM a) GROUP BY ALL) n
+          LEFT JOIN ranked r ON r.turn = n.turn AND r.k = n.k)
+        SELECT path_a, path_b FROM ranked JOIN turns USING (turn, k)""",
     "sample_planes": "SELECT image_id, scene, t, z FROM (SELECT DISTINCT image_id, scene, t, z FROM regions) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5(concat_ws('|', '17', image_id, scene, t, z)), image_id, scene, t, z) <= 2",
     "pair_mutual_best": f"""WITH RECURSIVE {_SIDES},
         scored AS MATERIALIZED (SELECT path_a, path_b, score, row_number() OVER (ORDER BY score DESC, path_a, path_b) AS k FROM (SELECT a.path AS path_a, b.path AS path_b, {_SCORE} AS score FROM a, b)),

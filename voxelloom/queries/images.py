@@ -703,7 +703,7 @@ def iterative_segment(spark, d):
     WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY ingested_at DESC) AS rn FROM regions) WHERE rn = 1),
     p AS (SELECT region_id, image_id, scene, t, z, centroid_0 AS y, centroid_1 AS x FROM c WHERE isfinite(centroid_0) AND isfinite(centroid_1)),
     near AS (SELECT a.region_id, b.region_id AS nearest, (b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x) AS d2 FROM p a JOIN p b USING (image_id, scene, t, z) WHERE a.region_id <> b.region_id),
-    best AS (SELECT region_id, nearest, d2 FROM near WHERE d2 <= 400 QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY d2, nearest) = 1)
+    best AS (SELECT region_id, nearest, d2 FROM near QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY d2, nearest) = 1)
     SELECT region_id, nearest, round(sqrt(d2), 6) AS distance FROM p LEFT JOIN best USING (region_id)""")
 def nearest_neighbor_distance(spark, d):
     from voxelloom.operators.current import SLICE, current_rows, is_number
