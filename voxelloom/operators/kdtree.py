@@ -77,6 +77,22 @@ class KdTree:
             yield left[keep], right[keep]
 
 
+    def in_boxes(self, low: np.ndarray, high: np.ndarray, chunk: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(box, point) of the points in each box, its borders included."""
+        box, node = np.arange(len(low)), np.zeros(len(low), dtype=np.int64)
+        for level, (nlow, nhigh) in enumerate(self.boxes):
+            if level:
+                box, node = np.concatenate([box, box]), np.concatenate([2 * node, 2 * node + 1])
+            keep = ((nlow[node] <= high[box]) & (nhigh[node] >= low[box])).all(axis=1)
+            box, node = box[keep], node[keep]
+        step = max(1, chunk // self.leaves.shape[1])
+        for at in range(0, len(box), step):
+            b, leaf = box[at : at + step], node[at : at + step]
+            places = self.leaves[leaf]
+            k, i = np.nonzero(((places >= low[b][:, None]) & (places <= high[b][:, None])).all(axis=2) & (self.index[leaf] >= 0))
+            yield b[k], self.index[leaf[k], i]
+
+
 def split_box(points: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
     """Splits of a k-d tree with that many leaves over a sample: rows (axis, value, left, right).
 

@@ -179,34 +179,46 @@ def places_within(df: DataFrame, identity: str, longitude: str, latitude: str, d
 
 
 def crossings(ys: np.ndarray, xs: np.ndarray, edges: np.ndarray, polygon: np.ndarray, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """(point, polygon) of the points inside: a line sweeps over y; an edge is active for the points from its lower end,
-    included, to its upper, excluded, and a point is inside if an odd number of its polygon's active edges lie to its right."""
-    order = np.argsort(ys, kind="stable")
-    swept = ys[order]
+    """(point, polygon) of the points inside, edges in order of their polygon: each polygon's sweep meets only the points
+    in its box, which a k-d tree knows. A line sweeps over y; an edge is active for the points from its lower end, included,
+    to its upper, excluded, and a point is inside if an odd number of its polygon's active edges lie to its right."""
+    none = np.zeros(0, dtype=np.int64)
+    if not len(ys) or not len(edges):
+        return none, none
     y0, x0, y1, x1 = edges.T
-    low, high = np.minimum(y0, y1), np.maximum(y0, y1)
-    start, stop = np.searchsorted(swept, low, "left"), np.searchsorted(swept, high, "left")
-    live = np.flatnonzero(stop > start)
+    kinds, first = np.unique(polygon, return_index=True)
+    box = np.column_stack([f.reduceat(np.stack(v), first, axis=1).T for f, v in ((np.minimum, (np.minimum(y0, y1), np.minimum(x0, x1))), (np.maximum, (np.maximum(y0, y1), np.maximum(x0, x1))))])
+    levels, level = np.unique(ys, return_inverse=True)
+    low, high = np.searchsorted(levels, np.minimum(y0, y1), "left"), np.searchsorted(levels, np.maximum(y0, y1), "left")
+    # A place in all sweeps, one polygon after the other; each one's events in order of y.
+    rank = np.searchsorted(kinds, polygon).astype(np.int64) * (len(levels) + 1)
     hits: list[np.ndarray] = []
-    ends = np.cumsum(stop[live] - start[live])
-    at = 0
-    while at < len(live):
-        done = ends[at - 1] if at else 0
-        upto = max(at + 1, int(np.searchsorted(ends, done + chunk, "right")))
-        e = live[at:upto]
-        n = stop[e] - start[e]
-        edge = np.repeat(e, n)
-        point = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[e], n)]
-        x = x0[edge] + (ys[point] - y0[edge]) * (x1[edge] - x0[edge]) / (y1[edge] - y0[edge])
-        right = x > xs[point]
-        pair = np.stack([point[right], polygon[edge[right]]])
-        hits.append(pair)
-        at = upto
+    for k, point in KdTree(np.column_stack([ys, xs])).in_boxes(box[:, :2], box[:, 2:], chunk):
+        events = k * (len(levels) + 1) + level[point]
+        order = np.argsort(events, kind="stable")
+        swept, point = events[order], point[order]
+        start, stop = np.searchsorted(swept, rank + low, "left"), np.searchsorted(swept, rank + high, "left")
+        live = np.flatnonzero(stop > start)
+        ends = np.cumsum(stop[live] - start[live])
+        at = 0
+        while at < len(live):
+            done = ends[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, done + chunk, "right")))
+            e = live[at:upto]
+            n = stop[e] - start[e]
+            edge = np.repeat(e, n)
+            p = point[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[e], n)]
+            x = x0[edge] + (ys[p] - y0[edge]) * (x1[edge] - x0[edge]) / (y1[edge] - y0[edge])
+            right = x > xs[p]
+            hits.append(np.stack([p[right], polygon[edge[right]]]))
+            at = upto
     if not hits:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    pair, n = np.unique(np.concatenate(hits, axis=1), axis=1, return_counts=True)
-    inside = n % 2 == 1
-    return pair[0][inside], pair[1][inside]
+        return none, none
+    pair = np.concatenate(hits, axis=1)
+    pair = pair[:, np.lexsort(pair)]
+    new = np.flatnonzero(np.append(True, (pair[:, 1:] != pair[:, :-1]).any(axis=0))) if pair.shape[1] else none
+    odd = np.diff(np.append(new, pair.shape[1])) % 2 == 1
+    return pair[0][new[odd]], pair[1][new[odd]]
 
 
 def points_in_polygons(points: DataFrame, group: list[str], identity: str, y: Column, x: Column, polygons: DataFrame, polygon_id: str, vertices: Column, *, cell_points: int = CELL_POINTS, most_leaves: int = MOST_LEAVES, scratch: Scratch | None = None) -> DataFrame:
@@ -217,7 +229,8 @@ def points_in_polygons(points: DataFrame, group: list[str], identity: str, y: Co
     that isn't a number contain nothing. Points as in points_within. Rows of a repeated polygon id count as one polygon
     by the odd-even rule, rows equal in every column once.
 
-    Points go to cells as in points_within. A polygon goes, with all its edges, to each cell that its box meets.
+    Cells are cut as in points_within, by points and polygons. A polygon goes, with all its edges, to each cell that its
+    box meets.
     """
     scratch = scratch or Scratch(points.sparkSession, "inside")
     pts = scratch.save(_points(points, 0, group, identity, [y, x]), "points")
@@ -229,7 +242,10 @@ def points_in_polygons(points: DataFrame, group: list[str], identity: str, y: Co
         keep &= F.col(f"g.{name}").isNotNull()
     sides = {k: F.transform("v", lambda p: p[c]) for k, c in enumerate("yx")}  # noqa: B023 - called at once
     shapes = named.where(keep).distinct().select("g", "poly", *(f(sides[k]).alias(f"{n}_{k}") for n, f in (("low", F.array_min), ("high", F.array_max)) for k in (0, 1)), sides[0].alias("vy"), sides[1].alias("vx"))
-    cells = _Cells(pts, scratch, 2, cell_points, most_leaves)
+    # Both points and polygons are load, so many polygons about few points are parted too.
+    shapes = scratch.save(shapes, "shapes")
+    load = pts.select("g", F.xxhash64("id").alias("id"), "x0", "x1").unionByName(shapes.select("g", F.xxhash64("poly").alias("id"), F.col("low_0").alias("x0"), F.col("low_1").alias("x1")))
+    cells = _Cells(load, scratch, 2, cell_points, most_leaves)
     homes = cells.points(pts, 0.0).where("home").select("cell", "g", "id", "x0", "x1")
     met = cells.boxes(shapes).select("cell", "g", "poly", "vy", "vx")
     schema = T.StructType([T.StructField("id", pts.schema["id"].dataType), T.StructField("polygon_id", shapes.schema["poly"].dataType)])
@@ -240,6 +256,7 @@ def points_in_polygons(points: DataFrame, group: list[str], identity: str, y: Co
         for g, here in p.groupby("g"):
             if (there := by_group.get(g)) is None:
                 continue
+            there = there.sort_values("poly", kind="stable")
             sizes = there["vy"].map(len).to_numpy()
             vy, vx = np.concatenate(there["vy"].to_list()), np.concatenate(there["vx"].to_list())
             last = np.cumsum(sizes) - 1

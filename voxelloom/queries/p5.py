@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.operators.current import SLICE, current_rows
-from voxelloom.operators.spatial import points_in_polygons, points_within
+from voxelloom.operators.spatial import places_within, points_in_polygons, points_within
 
 RADIUS_UM = 5.0
 
@@ -53,6 +53,14 @@ def p5_containing(spark: SparkSession, d: str) -> DataFrame:
     return inside.where(F.col("id") != F.col("polygon_id")).select(F.col("id").alias("region_id"), F.col("polygon_id").alias("container_region_id"))
 
 
+def places_near(spark: SparkSession, d: str) -> DataFrame:
+    """Customers within 50 km of each other along the surface, at places of a sphere made of their keys."""
+    key = F.col("c_custkey")
+    made = spark.read.parquet(f"{d}/customer.parquet").select(key.alias("id"), ((key * 7919 % 36000) / 100 - 180).alias("longitude"), ((key * 104729 % 18001) / 100 - 90).alias("latitude"))
+    near = places_within(made, "id", "longitude", "latitude", 50.0)
+    return near.select(F.col("id_a").alias("customer_a"), F.col("id_b").alias("customer_b"), F.round("distance", 4).alias("km"))
+
+
 _CURRENT = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY ingested_at DESC) AS rn FROM regions WHERE region_id IS NOT NULL) WHERE rn = 1"
 _UNITS = "CASE lower(trim(pixel_unit)) " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in MICROMETRES.items()) + " END"
 
@@ -68,6 +76,10 @@ SQL = {
         SELECT a.region_id AS region_id_a, b.region_id AS region_id_b
         FROM p a JOIN p b ON a.image_id = b.image_id AND a.scene = b.scene AND a.t = b.t AND a.z = b.z AND a.region_id < b.region_id
         WHERE (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 25.0 * (1 + 1e-9)""",
+    "places_near": """
+        WITH p AS (SELECT c_custkey AS id, radians(c_custkey * 7919 % 36000 / 100 - 180) AS lon, radians(c_custkey * 104729 % 18001 / 100 - 90) AS lat FROM customer),
+        near AS (SELECT a.id AS customer_a, b.id AS customer_b, 2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((a.lat - b.lat) / 2), 2) + cos(a.lat) * cos(b.lat) * pow(sin((a.lon - b.lon) / 2), 2))) AS km FROM p a JOIN p b ON a.id < b.id)
+        SELECT customer_a, customer_b, round(km, 4) AS km FROM near WHERE km <= 50.0""",
     "p5_containing": f"""
         WITH c AS ({_CURRENT})
         SELECT a.region_id AS region_id, b.region_id AS container_region_id
@@ -75,4 +87,4 @@ SQL = {
         WHERE isfinite(a.centroid_0) AND isfinite(a.centroid_1) AND a.centroid_0 >= b.bbox_0 AND a.centroid_0 < b.bbox_2 AND a.centroid_1 >= b.bbox_1 AND a.centroid_1 < b.bbox_3""",
 }
 
-QUERIES = {"p5_found": p5_found, "p5_containing": p5_containing}
+QUERIES = {"p5_found": p5_found, "p5_containing": p5_containing, "places_near": places_near}
