@@ -188,15 +188,20 @@ def dilate_once(mask: DataFrame, key: list[str], shape: tuple[int, int] | None =
     return grown
 
 
-def grow_region(own: set, taken: set, most: int, shape: tuple[int, int]) -> set:
-    """A region's pixels after growing by its four neighbours as long as it changes and has at most `most`."""
-    while len(own) <= most:
-        rim = {(y + dy, x + dx) for y, x in own for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))}
-        more = {p for p in rim - own - taken if 0 <= p[0] < shape[0] and 0 <= p[1] < shape[1]}
-        if not more or len(own) + len(more) > most:
+def grow_region(own: np.ndarray, blocked: np.ndarray, most: int) -> np.ndarray:
+    """A region's pixels, rows of (y, x), after growing by its four neighbours as long as it changes and has at most `most`.
+    Only the last step's pixels have neighbours that aren't known yet. `blocked` is a plane; the region may be blocked itself."""
+    h, w = blocked.shape
+    inside, rim = own[:, 0] * w + own[:, 1], own
+    while len(inside) <= most:
+        near = np.concatenate([rim + step for step in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+        near = near[((near >= 0) & (near < (h, w))).all(axis=1)]
+        more = np.unique(near[:, 0] * w + near[:, 1])
+        more = more[~blocked.ravel()[more] & ~np.isin(more, inside)]
+        if not len(more) or len(inside) + len(more) > most:
             break
-        own = own | more
-    return own
+        inside, rim = np.concatenate([inside, more]), np.column_stack(np.divmod(more, w))
+    return np.column_stack(np.divmod(inside, w))
 
 
 def dilate_to_area(mask: DataFrame, key: list[str], most: int, shape: tuple[int, int], *, strict: bool = False) -> DataFrame:
@@ -205,12 +210,14 @@ def dilate_to_area(mask: DataFrame, key: list[str], most: int, shape: tuple[int,
     schema = T.StructType([*(mask.schema[c] for c in key), T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType())])
 
     def grow(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        regions = [set(map(tuple, g[["y", "x"]].to_numpy().tolist())) for _, g in pdf.groupby("label")]
-        every = set().union(*regions)
-        taken: set = set()
-        for r in regions:
-            taken |= grow_region(r, (taken | every) - r if strict else taken, most, shape)
-        places = np.array(sorted(taken), dtype=np.int32)
-        return pd.DataFrame({**dict(zip(key, name)), "y": places[:, 0], "x": places[:, 1]})
+        taken, every = np.zeros(shape, dtype=bool), np.zeros(shape, dtype=bool)
+        every[pdf["y"], pdf["x"]] = True
+        for _, g in pdf.groupby("label"):
+            own = g[["y", "x"]].to_numpy(dtype=np.int64)
+            grown = grow_region(own, every if strict else taken, most)
+            every[grown[:, 0], grown[:, 1]] = True
+            taken[grown[:, 0], grown[:, 1]] = True
+        y, x = np.nonzero(taken)
+        return pd.DataFrame({**dict(zip(key, name)), "y": y.astype(np.int32), "x": x.astype(np.int32)})
 
     return label_components(mask, ["y", "x"], 1).groupBy(*key).applyInPandas(grow, schema)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxelloom.operators.components import component_ids
+
 NAN = float("nan")
 
 
@@ -42,11 +44,15 @@ def eigenvalues_3d(m: dict[str, Column], z: str, y: str, x: str) -> tuple[Column
 
 
 #: Properties of an aggregation, by what they're called for planes; for volumes area is volume.
-BASIC = ["label", "centroid", "bbox", "area", "num_pixels", "extent", "equivalent_diameter", "aspect_ratio", "eccentricity", "axis_major_length", "axis_minor_length", "orientation", "moments"]
-SHAPED = ["perimeter", "circularity", "solidity", "area_convex", "feret_diameter_max", "euler_number", "cross_sectional_area", "sphericity_faces"]
+BASIC = ["label", "centroid", "bbox", "area", "num_pixels", "extent", "equivalent_diameter", "aspect_ratio", "eccentricity", "axis_major_length", "axis_minor_length", "orientation", "moments", "inertia_tensor", "coords", "slice"]
+SHAPED = ["area_filled", "perimeter", "circularity", "solidity", "area_convex", "feret_diameter_max", "euler_number", "cross_sectional_area", "sphericity_faces"]
 VOLUME_NAMES = {"area": "volume", "circularity": "sphericity_faces"}
 
 
+#: A function of a region's mask in its box, a row of booleans for each line, that gives one number.
+RegionFunction = Callable[[np.ndarray], float]
+
+
 def checked_properties(names: list[str] | None, dims: int) -> list[str]:
     """What is asked for, label first: label and centroid if nothing is. For volumes area means volume and circularity
     sphericity, for planes the reverse."""
@@ -59,13 +65,15 @@ def checked_properties(names: list[str] | None, dims: int) -> list[str]:
     return list(dict.fromkeys(["label", *names]))
 
 
-def basic_properties(labels: DataFrame, key: list[str], axes: list[str], spacing: list[float] | None = None) -> DataFrame:
+def basic_properties(labels: DataFrame, key: list[str], axes: list[str], spacing: list[float] | None = None, *, coords: bool = False) -> DataFrame:
     """(key, label, area, centroid_*, bbox_*, extent, equivalent_diameter, aspect_ratio, …) of labels above 0.
 
     area (volume for three axes) is the number of pixels times the spacing; centroid_i in units of the spacing; bbox
     half-open in pixels, all lower ends first. aspect_ratio = sqrt(least / greatest eigenvalue of the coordinates' sample
     covariance), not a number for regions with fewer pixels than axes or without extent along one. eccentricity and
-    axis lengths (planes) from the covariance of pixels as squares of side 1 (a twelfth added on the diagonal).
+    axis lengths (planes) from the covariance of pixels as squares of side 1 (a twelfth added on the diagonal); those of
+    volumes are the axes of the ellipsoid with the pixels' covariance. inertia_ij: trace less covariance on the diagonal,
+    the covariance with its sign turned beside it. With `coords` the pixels' places too, in order.
     """
     n, spacing = len(axes), [float(s) for s in (spacing or [1.0] * len(axes))]
     size = abs(math.prod(spacing))
@@ -75,6 +83,8 @@ def basic_properties(labels: DataFrame, key: list[str], axes: list[str], spacing
     aggregates |= {f"bbox_{k}": F.min(a) for k, a in enumerate(axes)}
     aggregates |= {f"bbox_{k + n}": F.max(a) + 1 for k, a in enumerate(axes)}
     aggregates |= _moments(axes, spacing)
+    if coords:
+        aggregates["coords"] = F.sort_array(F.collect_list(F.struct(*axes)))
     out = labels.where(F.col("label") > 0).groupBy(*key, "label").agg(*(c.alias(a) for a, c in aggregates.items()))
     box = F.lit(1)
     for k in range(n):
@@ -94,10 +104,52 @@ def basic_properties(labels: DataFrame, key: list[str], axes: list[str], spacing
         out = out.withColumns({"axis_major_length": 4 * F.sqrt(a), "axis_minor_length": 4 * F.sqrt(F.greatest(b, F.lit(0.0))), "eccentricity": F.sqrt(F.greatest(F.lit(0.0), 1 - b / a)), "orientation": 0.5 * F.atan2(2 * pyx, pyy + fill[0] - pxx - fill[1])})
     else:
         great, least = eigenvalues_3d({k[4:]: F.col(k) for k in _moments(axes, spacing)}, *axes)
+        # An ellipsoid's half axis is sqrt(5) deviations.
+        whole = (F.col("num_pixels") - 1) / F.col("num_pixels")
+        out = out.withColumns({c: F.coalesce(2 * F.sqrt(5 * F.greatest(e * whole, F.lit(0.0))), F.lit(0.0)) for c, e in (("axis_major_length", great), ("axis_minor_length", least))})
     flat = (F.col("num_pixels") < n) | great.isNull() | ~(great > 0) | ~(least > 1e-12 * great)
     return out.withColumn("aspect_ratio", F.when(flat, F.lit(NAN)).otherwise(F.sqrt(least / great)))
 
 
+def _inertia(axes: list[str]) -> dict[str, Column]:
+    """The inertia tensor's entries by name, from the sample covariances."""
+    whole = (F.col("num_pixels") - 1) / F.col("num_pixels")
+    var = [F.coalesce(F.col(f"cov_{a}{a}") * whole, F.lit(0.0)) for a in axes]
+    out = {}
+    for i, a in enumerate(axes):
+        for j, b in enumerate(axes[i:], i):
+            out[f"inertia_{i}{j}"] = sum((v for k, v in enumerate(var) if k != i), F.lit(0.0)) if i == j else -F.coalesce(F.col(f"cov_{a}{b}") * whole, F.lit(0.0))
+    return out
+
+
+def filled(mask: np.ndarray) -> np.ndarray:
+    """The mask with its holes: places that no path along the axes leads to from outside."""
+    open_ = np.argwhere(~np.pad(mask, 1))
+    part = component_ids(open_, 1)
+    out = np.ones([n + 2 for n in mask.shape], dtype=bool)
+    out[tuple(open_[part == part[0]].T)] = False
+    return out[tuple(slice(1, -1) for _ in mask.shape)]
+
+
+def function_properties(labels: DataFrame, key: list[str], axes: list[str], functions: dict[str, RegionFunction]) -> DataFrame:
+    """(key, label, …): a column for each function of a region's mask. One row a region goes to Python, with its pixels."""
+    lists = labels.where(F.col("label") > 0).groupBy(*key, "label").agg(F.collect_list(F.struct(*axes)).alias("pixels")).select(*key, "label", *(F.col(f"pixels.{a}").alias(f"pixels_{a}") for a in axes))
+    schema = T.StructType([*(labels.schema[c] for c in (*key, "label")), *(T.StructField(f, T.DoubleType()) for f in functions)])
+
+    def mask_of(places: tuple) -> np.ndarray:
+        at = [np.asarray(p) - np.min(p) for p in places]
+        out = np.zeros([int(a.max()) + 1 for a in at], dtype=bool)
+        out[tuple(at)] = True
+        return out
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            masks = [mask_of(p) for p in zip(*(pdf[f"pixels_{a}"] for a in axes))]
+            yield pdf[[*key, "label"]].assign(**{name: [float(f(m)) for m in masks] for name, f in functions.items()})
+
+    return lists.mapInPandas(each, schema)
+
+
 def cross_sections(labels: DataFrame, key: list[str], spacing: list[float] | None = None) -> DataFrame:
     """(key, label, cross_sectional_area): the greatest area of a region in one plane along z, times the plane's spacing."""
     planes = labels.where(F.col("label") > 0).groupBy(*key, "label", "z").agg(F.count("*").alias("n"))
@@ -234,10 +286,14 @@ def intensity_properties(labels: DataFrame, voxels: DataFrame, key: list[str], a
     return joined.groupBy(*key, "label").agg(F.min(value).alias("intensity_min"), F.max(value).alias("intensity_max"), F.avg(value).alias("intensity_mean"))
 
 
-def region_properties(labels: DataFrame, key: list[str], axes: list[str], names: list[str] | None = None, spacing: list[float] | None = None) -> DataFrame:
-    """The properties asked for, by name; only what they need is computed."""
-    names = checked_properties(names, len(axes))
-    out = basic_properties(labels, key, axes, spacing)
+def region_properties(labels: DataFrame, key: list[str], axes: list[str], names: list[str] | None = None, spacing: list[float] | None = None, *, extra: dict[str, RegionFunction] | None = None) -> DataFrame:
+    """The properties asked for, by name; only what they need is computed. `extra` adds properties by functions of the
+    region's mask, under names of their own."""
+    names, extra = checked_properties(names, len(axes)), dict(extra or {})
+    if taken := [n for n in extra if n in (*BASIC, *SHAPED, *VOLUME_NAMES.values(), *key)]:
+        raise ValueError(f"names that are taken: {taken}")
+    out = basic_properties(labels, key, axes, spacing, coords="coords" in names)
+    out = out.withColumns(_inertia(axes)) if "inertia_tensor" in names else out
     on = [*key, "label"]
     if {"perimeter", "circularity"} & {*names}:
         out = out.join(perimeters(labels, key), on, "left").withColumn("circularity", circularity(F.col("num_pixels"), F.col("perimeter")))
@@ -249,5 +305,8 @@ def region_properties(labels: DataFrame, key: list[str], axes: list[str], names:
         out = out.join(cross_sections(labels, key, spacing), on, "left")
     if "sphericity_faces" in names:
         out = out.join(faces(labels, key, axes, spacing), on, "left").withColumn("sphericity_faces", sphericity_faces(F.col("volume"), F.col("surface")))
-    wide = {"centroid": [f"centroid_{k}" for k in range(len(axes))], "bbox": [f"bbox_{k}" for k in range(2 * len(axes))], "moments": [c for c in out.columns if c.startswith("cov_")]}
-    return out.select(*key, *dict.fromkeys(c for n in names for c in wide.get(n, [n])))
+    functions = {**({"area_filled": lambda m: filled(m).sum()} if "area_filled" in names else {}), **extra}
+    if functions:
+        out = out.join(function_properties(labels, key, axes, functions), on, "left")
+    wide = {"inertia_tensor": [c for c in out.columns if c.startswith("inertia_")], "slice": [f"bbox_{k}" for k in range(2 * len(axes))], "centroid": [f"centroid_{k}" for k in range(len(axes))], "bbox": [f"bbox_{k}" for k in range(2 * len(axes))], "moments": [c for c in out.columns if c.startswith("cov_")]}
+    return out.select(*key, *dict.fromkeys(c for n in (*names, *extra) for c in wide.get(n, [n])))

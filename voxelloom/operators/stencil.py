@@ -77,6 +77,18 @@ def stencil(df: DataFrame, axes: list[str], work: Callable[[np.ndarray], np.ndar
     return placed.groupBy(*key, *(f"{a}_tile" for a in axes)).applyInPandas(one, schema)
 
 
+def each_slice(df: DataFrame, axes: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """(key, …): the rows that `work` makes of each slice's rows, with the columns of `schema`; a slice is one task's work."""
+    key = [c for c in df.columns if c not in axes and c != "v"]
+    fields = T.StructType([*(df.schema[c] for c in key), *T._parse_datatype_string(schema).fields]) if isinstance(schema, str) else schema
+
+    def run(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        made = work(pdf)
+        return made.assign(**dict(zip(key, name)))[fields.names]
+
+    return df.groupBy(*key).applyInPandas(run, fields)
+
+
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
     radius = int(truncate * sigma + 0.5)
     w = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2) if sigma > 0 else np.ones(1)

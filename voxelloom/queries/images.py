@@ -12,7 +12,7 @@ from voxelloom.operators import components as comp
 from voxelloom.operators import filters, neighbors, overlap, regions, select
 from voxelloom.operators import threshold as th
 from voxelloom.operators.predicates import Range, filter_regions
-from voxelloom.operators.stencil import gaussian_weights
+from voxelloom.operators.stencil import each_slice, gaussian_weights
 from voxelloom.plans.pipelines import Segmentation, chain, coincidence, segment, segment_iteratively, segment_series
 from voxelloom.runtime import Scratch
 from voxelloom.sources.grids import frames, grid, months, patches
@@ -493,6 +493,33 @@ def region_eccentricity(spark, d):
     return rounded(out, "axis_major_length", "axis_minor_length").withColumn("eccentricity", F.round("eccentricity", 4))
 
 
+@query(f"WITH RECURSIVE {LABELS}, {_PROPS} SELECT c, z, label, round(coalesce(vx * (area - 1) / area, 0), 6) AS inertia_00, round(-coalesce(vyx * (area - 1) / area, 0), 6) + 0.0 AS inertia_01, round(coalesce(vy * (area - 1) / area, 0), 6) AS inertia_11 FROM props")
+def region_inertia(spark, d):
+    return rounded(regions.region_properties(_labels(spark, d), K, P, ["inertia_tensor"]), "inertia_00", "inertia_01", "inertia_11")
+
+
+@query(f"WITH RECURSIVE {LABELS} SELECT c, z, label, string_agg(y || ',' || x, ';' ORDER BY y, x) AS coords FROM labels GROUP BY ALL")
+def region_coords(spark, d):
+    out = regions.region_properties(_labels(spark, d), K, P, ["coords"])
+    return out.withColumn("coords", F.array_join(F.transform("coords", lambda p: F.concat_ws(",", p["y"], p["x"])), ";"))
+
+
+@query(f"""WITH RECURSIVE {LABELS},
+    boxes AS (SELECT c, z, label, min(y) - 1 AS y0, min(x) - 1 AS x0, max(y) + 1 AS y1, max(x) + 1 AS x1, count(*) AS area FROM labels GROUP BY ALL),
+    room AS MATERIALIZED (SELECT b.c, b.z, b.label, e.y, f.x FROM boxes b, range(-1, 33) e(y), range(-1, 33) f(x) WHERE e.y BETWEEN y0 AND y1 AND f.x BETWEEN x0 AND x1 AND NOT EXISTS (FROM labels l WHERE l.c = b.c AND l.z = b.z AND l.label = b.label AND l.y = e.y AND l.x = f.x)),
+    outside AS (SELECT c, z, label, y0::BIGINT AS y, x0::BIGINT AS x FROM boxes UNION SELECT r.c, r.z, r.label, r.y, r.x FROM outside o, (VALUES {_steps(2, 1)}) s(dy, dx), room r WHERE r.c = o.c AND r.z = o.z AND r.label = o.label AND r.y = o.y + s.dy AND r.x = o.x + s.dx),
+    free AS (SELECT c, z, label, count(*) AS n FROM outside GROUP BY ALL), rows_ AS (SELECT c, z, label, count(DISTINCT y) AS n FROM labels GROUP BY ALL)
+    SELECT c, z, label, ((y1 - y0 + 1) * (x1 - x0 + 1) - free.n)::DOUBLE AS area_filled, rows_.n::DOUBLE AS lines FROM boxes JOIN free USING (c, z, label) JOIN rows_ USING (c, z, label)""")
+def region_filled_and_extra(spark, d):
+    return regions.region_properties(_labels(spark, d), K, P, ["area_filled"], extra={"lines": lambda mask: mask.any(axis=1).sum()})
+
+
+@query(f"WITH {GRID} SELECT c, z, y, max(v)::DOUBLE AS top FROM grid GROUP BY ALL")
+def slice_rows(spark, d):
+    """A function from slices to rows: the greatest value of each line."""
+    return each_slice(grid(spark, d), P, lambda pdf: pdf.groupby("y", as_index=False)["v"].max().rename(columns={"v": "top"}).astype({"top": float}), "y int, top double")
+
+
 _VOLUMES = "volumes AS MATERIALIZED (SELECT c, z, y, x, (1 + v % 3)::INT AS label FROM grid)"
 
 
@@ -526,6 +553,17 @@ def region_aspect_ratio_3d(spark, d):
     return rounded(regions.region_properties(_volumes(spark, d), ["c"], ["z", *P], ["aspect_ratio"]), "aspect_ratio")
 
 
+@query(f"""WITH {GRID}, {_VOLUMES},
+    m AS (SELECT c, label, var_pop(z) AS a, var_pop(y) AS b, var_pop(x) AS c3, covar_pop(z, y) AS d, covar_pop(y, x) AS e, covar_pop(z, x) AS f FROM volumes GROUP BY ALL),
+    q AS (SELECT *, (a + b + c3) / 3 AS q FROM m),
+    p AS (SELECT *, sqrt({_P2}) AS p FROM q),
+    r AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c3 - q) - e * e) - d * (d * (c3 - q) - e * f) + f * (d * e - (b - q) * f)) / (2 * p * p * p)))) / 3 AS phi FROM p)
+    SELECT c, label, round(sqrt(20 * (q + 2 * p * cos(phi))), 6) AS axis_major_length, round(sqrt(20 * (q + 2 * p * cos(phi + 2 * pi() / 3))), 6) AS axis_minor_length, round(b + c3, 6) AS inertia_00, round(-d, 6) + 0.0 AS inertia_01 FROM r""")
+def region_axes_3d(spark, d):
+    out = regions.region_properties(_volumes(spark, d), ["c"], ["z", *P], ["axis_major_length", "axis_minor_length", "inertia_tensor"])
+    return rounded(out, "axis_major_length", "axis_minor_length", "inertia_00", "inertia_01").select("c", "label", "axis_major_length", "axis_minor_length", "inertia_00", "inertia_01")
+
+
 @query(f"""WITH {GRID}, {_VOLUMES}, open AS (SELECT v.c, v.label, count(*) AS faces FROM volumes v, (VALUES {_steps(3, 1)}) o(dz, dy, dx)
       WHERE NOT EXISTS (FROM volumes n WHERE n.c = v.c AND n.label = v.label AND n.z = v.z + o.dz AND n.y = v.y + o.dy AND n.x = v.x + o.dx) GROUP BY ALL),
     n AS (SELECT c, label, count(*) AS n FROM volumes GROUP BY ALL)
