@@ -45,7 +45,8 @@ def rescale(df: DataFrame, stack: list[str], *, normalize: bool = True, dtype: s
 
 def temporal_mean(df: DataFrame, window: int = 5, *, exclude_center: bool = True, time: str = "t", value: str = "v") -> DataFrame:
     """Each pixel's mean over `window` frames around its own (one more before than after if even); the first and last
-    frame stand in for those beyond. Without its own value if exclude_center."""
+    frame stand in for those beyond. Without its own value if exclude_center. The mean of integers is a double; rescale()
+    makes integers of it again."""
     if window < (2 if exclude_center else 1):
         raise ValueError("the window is too short")
     key = slice_key(df.columns, [time], [value])

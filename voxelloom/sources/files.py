@@ -70,8 +70,10 @@ def without_substrings(files: DataFrame, parts: list[str]) -> DataFrame:
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """(line, first, second) of a text file with one or two paths a line, quoted or not; empty lines have no row."""
-    lines = spark.read.text(path).withColumn("order", F.monotonically_increasing_id())
+    """(line, first, second) of a text file with one or two paths a line, quoted or not; empty lines have no row, but are
+    counted: `line` is the number in the file, from 1. A list is read whole by one task: names of files, not data."""
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("order", "value"))
+    lines = whole.withColumn("order", F.col("order") + 1)
     word = r"\"([^\"]*)\"|'([^']*)'|(\S+)"
     words = F.filter(F.regexp_extract_all("value", F.lit(f"({word})"), F.lit(1)), lambda w: F.length(w) > 0)
     bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[\"']|[\"']$", ""))
@@ -79,6 +81,25 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("order").alias("line"), F.try_element_at("w", F.lit(1)).alias("first"), F.try_element_at("w", F.lit(2)).alias("second"))
 
 
+def matches_regex(path: Column, patterns: list[str]) -> Column:
+    """Whether any of the regular expressions is found in the path."""
+    out = F.lit(False)
+    for p in patterns:
+        out |= path.rlike(p)
+    return out
+
+
+def relative_keys(files: DataFrame, roots: list[str]) -> DataFrame:
+    """files with `key`: the name of the root that a file lies under, and its path from there; its name if under none."""
+    p = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
+    key = basename(F.col("path"))
+    for root in sorted(roots, key=len):
+        bare = root.replace("\\", "/").rstrip("/")
+        below = p.startswith(bare + "/")
+        key = F.when(below, F.concat(F.lit(bare.rpartition("/")[2] + "/"), F.substr(p, F.lit(len(bare) + 2)))).otherwise(key)
+    return files.withColumn("key", key)
+
+
 def write_table(df: DataFrame, path: str, *, form: str = "csv", overwrite: bool = False, partition_by: list[str] | None = None) -> str:
     """As csv (with a header) or parquet; FileExistsError if something is there, unless overwrite."""
     if form not in ("csv", "parquet"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,10 @@ def places(spark: SparkSession, sizes: dict[str, int]) -> DataFrame:
 
 
 def densify(df: DataFrame, sizes: dict[str, int], value: str = "v") -> DataFrame:
-    """A row for each place of the box; 0 where df has none. Rows beyond the box are left out."""
+    """A row for each place of the box; 0 where df has none. A row beyond the box is an error, when the query runs."""
+    beyond = reduce(lambda a, b: a | b, (~F.col(a).between(0, n - 1) for a, n in sizes.items()))
+    places_of = {a: F.when(beyond, F.raise_error(F.lit(f"a place beyond the box {sizes}")).cast("int")).otherwise(F.col(a)) for a in list(sizes)[:1]}
+    df = df.withColumns(places_of)
     return places(df.sparkSession, sizes).join(df, list(sizes), "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 

@@ -17,11 +17,14 @@ from typing import Any, BinaryIO
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from voxelloom.functions.parse import substack_ranges
+from voxelloom.operators.select import grayscale, rename_channels
+
 #: Sizes of field types and numbers of tags (fixed values of the format).
 SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, DESCRIPTION, STRIPS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, TILE_W, TILE_H, TILES, TILE_COUNTS, FORMAT = 256, 257, 258, 259, 270, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
@@ -207,6 +210,35 @@ def planes_to_voxels(planes: DataFrame) -> DataFrame:
     return planes.mapInArrow(run, schema)
 
 
+def load_stacks(spark: SparkSession, path: str, *, scene: int | None = None, substack: str | None = None, names: dict[str, str] | None = None, gray: bool = False) -> DataFrame:
+    """(image_id, scene, c, t, z, y, x, v) of the files of a folder: planes are chosen before their pixels become rows."""
+    spark.dataSource.register(TiffSource)
+    planes = spark.read.format(TiffSource.name()).load(path).withColumnRenamed("path", "image_id")
+    ranges = substack_ranges(substack)
+    for axis in "TCZ":
+        if axis in ranges:
+            low, high = ranges[axis]
+            planes = planes.where((F.col(axis.lower()) >= low) & (F.col(axis.lower()) < high))
+    if scene is not None:
+        planes = planes.where(F.col("scene") == scene)
+    voxels = planes_to_voxels(planes)
+    for axis in "YX":
+        if axis in ranges:
+            low, high = ranges[axis]
+            voxels = voxels.where((F.col(axis.lower()) >= low) & (F.col(axis.lower()) < high))
+    return grayscale(voxels) if gray else rename_channels(voxels.withColumn("c", F.col("c").cast("string")), names) if names else voxels
+
+
+def write_pairs(images: DataFrame, labels: DataFrame, folder: str, key: list[str], *, overwrite: bool = False) -> DataFrame:
+    """(key, image, label): each plane that has labels as a file of its image and one of its labels, of the same name, in
+    the folders images and labels."""
+    planes = labels.where("label > 0").select(*key).distinct()
+    pixels = images.join(planes, key, "left_semi").select(*key, "y", "x", "v")
+    marked = pixels.select(*key, "y", "x").join(labels.select(*key, "y", "x", "label"), [*key, "y", "x"], "left").select(*key, "y", "x", F.coalesce("label", F.lit(0)).cast("double").alias("v"))
+    made = [write_stacks(d, f"{folder}/{name}", key, dtype=kind, overwrite=overwrite).withColumnRenamed("path", name[:-1]) for d, name, kind in ((pixels, "images", "float32"), (marked, "labels", "int32"))]
+    return made[0].join(made[1], key)
+
+
 def tiff_bytes(planes: np.ndarray, axes: str, names: list[str], sizes: dict[str, float]) -> bytes:
     """A file of a (T, C, Z, Y, X) array."""
     t, c, z, h, w = planes.shape
