@@ -493,9 +493,12 @@ def region_eccentricity(spark, d):
     return rounded(out, "axis_major_length", "axis_minor_length").withColumn("eccentricity", F.round("eccentricity", 4))
 
 
-@query(f"WITH RECURSIVE {LABELS}, {_PROPS} SELECT c, z, label, round(coalesce(vx * (area - 1) / area, 0), 6) AS inertia_00, round(-coalesce(vyx * (area - 1) / area, 0), 6) + 0.0 AS inertia_01, round(coalesce(vy * (area - 1) / area, 0), 6) AS inertia_11 FROM props")
+@query(f"WITH RECURSIVE {LABELS}, {_PROPS} SELECT c, z, label, round(coalesce(vx * (area - 1) / area, 0) + 1e-9, 6) AS inertia_00, round(1e-9 - coalesce(vyx * (area - 1) / area, 0), 6) AS inertia_01, round(coalesce(vy * (area - 1) / area, 0) + 1e-9, 6) AS inertia_11 FROM props")
 def region_inertia(spark, d):
-    return rounded(regions.region_properties(_labels(spark, d), K, P, ["inertia_tensor"]), "inertia_00", "inertia_01", "inertia_11")
+    # Many entries end in a 5 after the sixth place; a little more, on both sides, keeps them from being rounded by chance.
+    names = ["inertia_00", "inertia_01", "inertia_11"]
+    out = regions.region_properties(_labels(spark, d), K, P, ["inertia_tensor"])
+    return rounded(out.withColumns({n: F.col(n) + 1e-9 for n in names}), *names)
 
 
 @query(f"WITH RECURSIVE {LABELS} SELECT c, z, label, string_agg(y || ',' || x, ';' ORDER BY y, x) AS coords FROM labels GROUP BY ALL")
